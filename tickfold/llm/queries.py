@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickfold.llm import hyperdimensional, packing
 from tickfold.llm.histogram_sort import shard
+from tickfold.llm.lsh_forest import near_duplicates
 from tickfold.llm.quality_rules import quality_rules
 from tickfold.llm.shared import table
 
@@ -39,6 +40,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(digests).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
