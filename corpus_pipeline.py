@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickfold.llm import hyperdimensional, packing
+from tickfold.llm.decontamination import contaminated
+from tickfold.llm.lsh_forest import near_duplicates
 from tickfold.llm.quality_rules import quality_rules
+from tickfold.llm.queries import tokenizer_path
 from tickfold.llm.shared import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,7 +20,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality)]
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told: with letters, and with some likeness to a learned language.
+
+    Learned from the labelled documents that stage kept, without the held-out fifth."""
+    return hyperdimensional.identify(docs, docs, carry=COLUMNS).where("lang_pred <> 'und' and score >= 0.15").select(*COLUMNS)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_found")), "left_anti").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, with their sequence and offset."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality_rules", quality), ("language_id", language), ("near_dedup", near), ("decontamination", clean_of_benchmark), ("packing", packed)]
 #: The stages hash, align and pack; SQL cannot express that.
 ORACLE_SQL = None
 
