@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,27 +29,64 @@ from tickfold.llm.shared import cut
 LENGTH = 4096
 
 
+#: Letters whose lower case and normal form are one letter each, and marks that no pattern of a tokenizer takes into a word.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+
+
 class Tokens:
-    """Ids of texts as little-endian 32-bit words, by a tokenizer whose ids of a text are those of its blank-separated parts in a row.
+    """Ids of texts as little-endian 32-bit words, by a tokenizer that drops white space and lowers case.
 
-    Parts repeat, so their ids are remembered, ``most`` of them at a time; memory is bounded by that and the largest text.
+    For such a tokenizer the ids of a text are those of its blank-separated parts in a row, and parts repeat, so their ids
+    are remembered, ``most`` of them at a time; memory is bounded by that and the largest text. Of a part of plain letters
+    and marks the letters' ids come straight from the tokenizer's model; what is plain is checked against the whole
+    tokenizer first (``agrees``). Other parts go through all of it.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        self.tokenizer, self.most, self.known, self.words, self.marks = Tokenizer.from_file(path), most, {"": b""}, {"": b""}, {"": b""}
+        byte = [*range(33, 127), *range(161, 173), *range(174, 256)]  # how byte-level models write bytes
+        self.byte = {b: chr(b) for b in byte} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in byte)}
+        self.fast = self.agrees()
+
+    def agrees(self) -> bool:
+        """Whether the shortcut gives what the tokenizer gives, on every plain letter, in and between words, and mark."""
+        letters = [chr(c) for c in range(256) if (m := PLAIN.fullmatch(chr(c))) and m[1]]
+        parts = [x + y for x in letters for y in ("", "ing", "A", "\u00e9t")] + ["th" + x + m for x in letters for m in (".", ",%%%", "!!")]
+        return all(self.plain(p) == self.whole([p])[0] for p in parts)
+
+    def whole(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def plain(self, part: str) -> bytes | None:
+        m = PLAIN.fullmatch(part)
+        if not m:
+            return None
+        word, marks = m[1].lower(), m[2]
+        if (ids := self.words.get(word)) is None:
+            spelt = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
+            ids = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
+        if marks:
+            if marks not in self.marks:
+                self.marks[marks] = self.whole([marks])[0]
+            ids += self.marks[marks]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for p in parts for w in p}.difference(self.known))
+        new = {w for p in parts for w in p}.difference(self.known)
         if len(self.known) + len(new) > self.most:
-            self.known = {"": b""}
-            new = list({w for p in parts for w in p}.difference(self.known))
-        for i in range(0, len(new), 5000):
-            some = new[i : i + 5000]
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+            self.known, self.words, self.marks = {"": b""}, {"": b""}, {"": b""}
+            new = {w for p in parts for w in p}.difference(self.known)
+        rest = []
+        for w in new:
+            if self.fast and (ids := self.plain(w)) is not None:
+                self.known[w] = ids
+            else:
+                rest.append(w)
+        self.known.update(zip(rest, self.whole(rest)))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
