@@ -11,7 +11,8 @@ the one that rejects most bad documents for each good one. A stratum with too fe
 
 Defined results: a null text counts as empty; a null language is a stratum of its own ('und'); labels that are null,
 contradictory or repeated count row by row, rows with a null quality not at all; an empty table gives an empty table;
-other columns of the input are kept, and only those with the names of the added columns are replaced.
+other columns of the input are kept, but those with the names of the added columns are replaced, and those named as in
+INNER left out.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tickfold.llm.shared import SPACE, cut
 WINDOW = 8
 RULES = ("symbols", "bangs", "dup_lines", "repeats", "stutter")
 GRID = (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01)
+INNER = ("_w", "_l", "_h", "_g", "_s", "_p")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_stutter", "n_lines")
 
 
@@ -35,7 +37,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     All in-row array functions: no shuffle, and a row's state is in proportion to its own text. Repeated windows are
     found by 64-bit hashes of the words; the sort that locates them runs only for texts that have some.
     """
-    keep = [c for c in df.columns if c not in (*COUNTS, *RULES, "base_failed")]
+    keep = [c for c in df.columns if c not in (*COUNTS, *RULES, *INNER, "base_failed")]
     t, n = F.coalesce(F.col(text), F.lit("")), F.col("n_words").cast("int")
     df = df.select(*keep, F.array_remove(F.split(t, SPACE), "").alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
     df = df.select(
@@ -137,5 +139,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...]
     """carry of each document with its counts, rates, base_failed and kept. carry must have doc_id and lang.
 
     The texts are measured once, in one pass; what calibration and verdicts read is the written table."""
-    measured = cut(measures(docs).select(*carry, *COUNTS, "base_failed", *RULES), "quality")
+    measured = cut(measures(docs.select(*dict.fromkeys([*carry, "text"]))).select(*carry, *COUNTS, "base_failed", *RULES), "quality")
     return verdict(measured, calibrate(measured, labels, alpha=alpha, delta=delta))
