@@ -24,17 +24,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told: with letters, and with some likeness to a learned language.
 
     Learned from the labelled documents that stage kept, without the held-out fifth."""
+    docs = docs.select(*COLUMNS)
     return hyperdimensional.identify(docs, docs, carry=COLUMNS).where("lang_pred <> 'und' and score >= 0.15").select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    docs = docs.select(*COLUMNS)
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
     return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    docs = docs.select(*COLUMNS)
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
     return docs.join(found, docs.doc_id.eqNullSafe(F.col("_found")), "left_anti").select(*COLUMNS)
 
