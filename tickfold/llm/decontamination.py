@@ -18,7 +18,9 @@ words; a null id is kept; equal rows give equal rows, of which one is kept; an e
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +30,15 @@ from pyspark.sql import functions as F
 from tickfold.llm.shared import cut
 
 SEED, RARE, FEW, SEEDS, SCORE, BLOCK_WORDS = 5, 0.02, 50, 12, 0.5, 1_000_000
-EDGE = ".,;:!?\"'()[]{}<>*#$%&|"
+#: Words are runs of other characters than white space and these marks.
+WORD = re.compile(r"[^\s.,;:!?\"'()\[\]{}<>*#$%&|]+")
 STRETCH = "doc_id long, start long, words array<int>, grams array<long>, places array<int>"
 RESULT = "doc_id long, item_id long, score double, first_word long, last_word long"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[str]:
-    return [x for w in (text or "").lower().split() if (x := w.strip(EDGE))]
+    return WORD.findall((text or "").lower())
 
 
 def grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -100,12 +103,12 @@ def stretches(docs: DataFrame, items: Items, *, text: str = "text", doc_id: str
         for batch in batches:
             out = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = np.array([get(w, -1) for w in tokens(t)], np.int64)
+                words = np.fromiter(map(get, tokens(t), repeat(-1)), np.int64)
                 at, own = [], []
                 for size in items.sizes:
                     g = grams(words, size)
                     some = np.flatnonzero((g >= 0) & quick[g & (len(quick) - 1)])
-                    some = some[np.isin(g[some], items.known)]
+                    some = some[items.known[np.minimum(np.searchsorted(items.known, g[some]), len(items.known) - 1)] == g[some]]
                     at.append(some)
                     own.append(g[some])
                 at, own = np.concatenate(at or [[]]), np.concatenate(own or [[]])
