@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tickfold.llm.shared import cut
 
-SEED, RARE, FEW, SEEDS, SCORE, BLOCK_WORDS = 5, 0.02, 50, 12, 0.5, 1_000_000
+SEED, RARE, FEW, SEEDS, SCORE, BLOCK_WORDS = 5, 0.02, 50, 12, 0.4, 1_000_000
 #: Words are runs of other characters than white space and these marks.
 WORD = re.compile(r"[^\s.,;:!?\"'()\[\]{}<>*#$%&|]+")
 STRETCH = "doc_id long, start long, words array<int>, grams array<long>, places array<int>"
