@@ -108,6 +108,23 @@ def unpack_seconds(key: Column) -> Column:
     return key.bitwiseAND(F.lit((1 << TIME_BITS) - 1)) + SIX_AM
 
 
+def date_code(date: Column, year_zero: int = 1990) -> Column:
+    """15 bits of a YYYYMMDD text: years since 1990 (6), month (4), day (5); null outside of 1990 to 2053."""
+    part = lambda at, n: F.substring(date, at, n).cast("int")
+    years = part(1, 4) - year_zero
+    return F.when(years.between(0, 63), F.shiftleft(years, 9).bitwiseOR(F.shiftleft(part(5, 2), 5)).bitwiseOR(part(7, 2)))
+
+
+def compact_time(date: Column, sec: Column) -> Column:
+    """32 bits, date above 17 bits of seconds, as an unsigned number; a BIGINT, so that its order is right."""
+    return F.shiftleft(date_code(date).cast("bigint"), 17).bitwiseOR(sec.cast("bigint"))
+
+
+def compact_time_30(date: Column, sec: Column) -> Column:
+    """30 bits, date above 15 bits of seconds since six, never negative; null before six."""
+    return F.when(sec >= SIX_AM, F.shiftleft(date_code(date), TIME_BITS).bitwiseOR((sec - SIX_AM).cast("int")))
+
+
 def relative_error(truth: Column, found: Column, epsilon: float = EPSILON) -> Column:
     """|truth - found| / |truth + epsilon|; NaN where either is missing, so that no mean can hide a gap."""
     return F.coalesce(F.abs(truth - found) / F.abs(truth + F.lit(epsilon)), F.lit(float("nan")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickfold.functions.book import ALPHAS, BOOK, SNAPSHOT, depth_sums, in_session, levels_array, metric, pack_key, to_hhmmss, to_seconds, unpack_day, unpack_seconds
+from tickfold.functions.book import ALPHAS, BOOK, SNAPSHOT, compact_time, compact_time_30, depth_sums, in_session, levels_array, metric, pack_key, to_hhmmss, to_seconds, unpack_day, unpack_seconds
 from tickfold.functions.floats import shortest_float
 from tickfold.operators import factors as fac
 from tickfold.operators import statistics as stats
@@ -167,6 +167,13 @@ def key_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(unpack_day(F.col("k")).alias("day"), unpack_seconds(F.col("k")).alias("sec"))
 
 
+@query("key_pack_date", f"WITH {SNAPSHOTS} SELECT DISTINCT day, sec, ((34*16 + CAST(substr(day, 1, 2) AS BIGINT))*32 + CAST(substr(day, 3, 2) AS BIGINT))*131072 + sec AS compact, CAST(((34*16 + CAST(substr(day, 1, 2) AS BIGINT))*32 + CAST(substr(day, 3, 2) AS BIGINT))*32768 + sec - 21600 AS INT) AS compact_30 FROM snapshots")
+def key_pack_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with the year, as older forms of the job had them; the days are those of 2024."""
+    date = F.concat(F.lit("2024"), F.col("day"))
+    return snapshots(spark, sf_dir).select("day", "sec").distinct().select("day", "sec", compact_time(date, F.col("sec")).alias("compact"), compact_time_30(date, F.col("sec")).alias("compact_30"))
+
+
 def _depth(name: str, columns: tuple[str, str]) -> None:
     @query(name, f"WITH {SNAPSHOTS}, depth AS (SELECT *, {DEPTH_SQL} FROM snapshots) SELECT day, sec, {', '.join(f'round(avg({c}), 6) AS {c}' for c in columns)} FROM depth GROUP BY day, sec")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
