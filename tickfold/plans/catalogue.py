@@ -156,22 +156,22 @@ def time_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).select("sec").distinct().withColumn("trade_time", to_hhmmss(F.col("sec"))).withColumn("back", to_seconds(F.col("trade_time")))
 
 
-@query("key_pack", f"WITH {SNAPSHOTS} SELECT DISTINCT day, sec, CAST(CAST(day AS INT)*32768 + sec - 21600 AS INT) AS packed FROM snapshots")
+@query("key_pack", f"WITH {SNAPSHOTS} SELECT DISTINCT day, sec, CAST(CAST(day AS INT)*32768 + sec - 21600 AS INT) AS packed FROM snapshots WHERE {EMIT}")
 def key_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots(spark, sf_dir).select("day", "sec").distinct().withColumn("packed", pack_key(F.col("day"), F.col("sec")))
+    return snapshots(spark, sf_dir).where(in_session()).select("day", "sec").distinct().withColumn("packed", pack_key(F.col("day"), F.col("sec")))
 
 
-@query("key_unpack", f"WITH {SNAPSHOTS} SELECT DISTINCT day, sec FROM snapshots")
+@query("key_unpack", f"WITH {SNAPSHOTS} SELECT DISTINCT day, sec FROM snapshots WHERE {EMIT}")
 def key_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = snapshots(spark, sf_dir).select(pack_key(F.col("day"), F.col("sec")).alias("k")).distinct()
+    packed = snapshots(spark, sf_dir).where(in_session()).select(pack_key(F.col("day"), F.col("sec")).alias("k")).distinct()
     return packed.select(unpack_day(F.col("k")).alias("day"), unpack_seconds(F.col("k")).alias("sec"))
 
 
-@query("key_pack_date", f"WITH {SNAPSHOTS} SELECT DISTINCT day, sec, ((34*16 + CAST(substr(day, 1, 2) AS BIGINT))*32 + CAST(substr(day, 3, 2) AS BIGINT))*131072 + sec AS compact, CAST(((34*16 + CAST(substr(day, 1, 2) AS BIGINT))*32 + CAST(substr(day, 3, 2) AS BIGINT))*32768 + sec - 21600 AS INT) AS compact_30 FROM snapshots")
+@query("key_pack_date", f"WITH {SNAPSHOTS} SELECT DISTINCT day, sec, ((34*16 + CAST(substr(day, 1, 2) AS BIGINT))*32 + CAST(substr(day, 3, 2) AS BIGINT))*131072 + sec AS compact, CAST(((34*16 + CAST(substr(day, 1, 2) AS BIGINT))*32 + CAST(substr(day, 3, 2) AS BIGINT))*32768 + sec - 21600 AS INT) AS compact_30 FROM snapshots WHERE {EMIT}")
 def key_pack_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with the year, as older forms of the job had them; the days are those of 2024."""
     date = F.concat(F.lit("2024"), F.col("day"))
-    return snapshots(spark, sf_dir).select("day", "sec").distinct().select("day", "sec", compact_time(date, F.col("sec")).alias("compact"), compact_time_30(date, F.col("sec")).alias("compact_30"))
+    return snapshots(spark, sf_dir).where(in_session()).select("day", "sec").distinct().select("day", "sec", compact_time(date, F.col("sec")).alias("compact"), compact_time_30(date, F.col("sec")).alias("compact_30"))
 
 
 def _depth(name: str, columns: tuple[str, str]) -> None:
