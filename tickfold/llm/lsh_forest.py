@@ -32,7 +32,7 @@ from tickfold.llm.shared import components, cut
 
 TREES, DEPTH, MISS = 16, 12, 2e-5
 REGION = 2000
-BLOCK_TEXTS, BLOCK_SHINGLES = 700, 500_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 300, 500_000
 NO_ID = -(2**63)
 _rng = np.random.default_rng(7)
 _A = (_rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -111,7 +111,7 @@ def forest_links(classes: DataFrame, similarity: float) -> DataFrame:
     depth, regions = least, None
     rows = rows.withColumn("region", F.xxhash64("tree", F.substring("order", 1, 2 * depth)))
     while True:
-        sizes = rows.groupBy("region").count().where("count > 1")
+        sizes = cut(rows.groupBy("region").count().where("count > 1"), "region-sizes")  # written, so that a hot region's join can be split
         live = cut(rows.join(sizes, "region").select("node", "tree", "order", "region", "count"), "regions")
         small = live.where(F.col("count") <= REGION).select("node", "region", "order")
         regions = small if regions is None else regions.union(small)
@@ -192,7 +192,7 @@ def linked(sets: list[np.ndarray], percent: int, cross: int | None = None) -> li
 def confirm(docs: DataFrame, classes: DataFrame, rough: DataFrame, words: int, percent: int, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Confirmed links (a, b): spanning forests within the tasks that compare full sets."""
     groups = components(rough, "rough-components").join(classes.select("node", "n", "set_id"), "node")
-    sizes = groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = cut(groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "component-sizes")
     placed = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("node"), F.col(text).alias("text"))
