@@ -175,10 +175,10 @@ def key_pack_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _depth(name: str, columns: tuple[str, str]) -> None:
-    @query(name, f"WITH {SNAPSHOTS}, depth AS (SELECT *, {DEPTH_SQL} FROM snapshots) SELECT day, sec, {', '.join(f'round(avg({c}), 4) AS {c}' for c in columns)} FROM depth GROUP BY day, sec")
+    @query(name, f"WITH {SNAPSHOTS}, depth AS (SELECT *, {DEPTH_SQL} FROM snapshots) SELECT day, sec, {', '.join(f'round(avg({c}), 3) AS {c}' for c in columns)} FROM depth GROUP BY day, sec")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = depth_sums()
-        return snapshots(spark, sf_dir).select("day", "sec", *[own[c].alias(c) for c in columns]).groupBy("day", "sec").agg(*[F.round(F.avg(c), 4).alias(c) for c in columns])
+        return snapshots(spark, sf_dir).select("day", "sec", *[own[c].alias(c) for c in columns]).groupBy("day", "sec").agg(*[F.round(F.avg(c), 3).alias(c) for c in columns])
 
 
 for _name, _columns in (("book_depth", ("sb", "sa")), ("book_vwap", ("pb", "pa")), ("book_weighted", ("wb", "wa"))):
