@@ -74,5 +74,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_MARKS = "length({0}) - length(replace(replace(replace({0}, '\\', ''), '<', ''), '>', ''))"
+_TURN = "15 + length(role) + length(text) + " + " + ".join(_MARKS.format(c) for c in ("role", "text"))
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+ORACLES = {
+    "op5_prefix_tree": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' {_ORDER})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({_TURN}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""".replace("'\\\\'", "'\\'"),
+    "op7_warc": """
+WITH d AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, url, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash, learn, align or pack, which SQL cannot say; they are tested against brute force."""
+    return dict(ORACLES)
