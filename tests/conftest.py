@@ -4,7 +4,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+here = Path(__file__).resolve().parent
+sys.path[:0] = [str(here.parent), str(here), str(here / "llm")]
 
 
 @pytest.fixture(scope="session")
