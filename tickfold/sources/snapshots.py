@@ -85,9 +85,10 @@ def from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Canonical snapshots made from the lineitem table: five days, about 120 slots of 180 s for each supplier."""
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("l_suppkey").orderBy(*[f"l_{c}" for c in ("orderkey", "linenumber", "partkey", "quantity", "extendedprice", "discount", "tax", "shipdate", "returnflag", "linestatus")])
+    # dealt by stock under that name: the exchange also serves the row before, by (day, stock)
+    order = Window.partitionBy("stock").orderBy(*[f"l_{c}" for c in ("orderkey", "linenumber", "partkey", "quantity", "extendedprice", "discount", "tax", "shipdate", "returnflag", "linestatus")])
     h, px, seq = F.col("h"), F.col("px"), F.col("seq")
-    base = lineitem.select(F.col("l_suppkey").alias("stock"), (F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")).alias("h"), (F.lit(1000) + F.col("l_partkey") % 500 * 10).alias("px"), (F.row_number().over(order) - 1).alias("seq"))
+    base = lineitem.withColumnRenamed("l_suppkey", "stock").select("stock", (F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")).alias("h"), (F.lit(1000) + F.col("l_partkey") % 500 * 10).alias("px"), (F.row_number().over(order) - 1).alias("seq"))
     book: dict[str, Column] = {}
     for i in range(1, LEVELS + 1):
         book[f"bp{i}"] = px - i - h % (i + 1)
