@@ -10,6 +10,8 @@ from tickfold.functions.book import BOOK, LEVELS, SNAPSHOT, to_seconds
 #: Positions in a line: date, time, total volumes, and four columns for each level from 17 on.
 FIRST_LEVEL, TOTALS = 17, {"tb": 12, "ta": 13}
 LAST = FIRST_LEVEL + 4 * LEVELS - 1
+#: A sound line: date, time, ten fields that are not read, two totals, three more, the levels, and at least a comma.
+FORMAT = rf"^[0-9]{{8}},[0-9]{{6}},(?:[^,]*,){{10}}(?:[0-9]{{0,18}},){{2}}(?:[^,]*,){{3}}(?:[0-9]{{0,18}},){{{4 * LEVELS}}}"
 
 
 def path_part(path: Column, from_end: int) -> Column:
@@ -29,13 +31,11 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """
     f = F.split(F.col(line), ",", LAST + 3)
     at = lambda i: F.get(F.col("_f"), i)
-    number = lambda i: F.coalesce(F.try_to_number(F.nullif(at(i), F.lit("")), F.lit("9" * 18)).cast("bigint"), F.lit(0)).cast("double")
+    number = lambda i: F.coalesce(at(i).try_cast("bigint"), F.lit(0)).cast("double")
     columns = {k: number(i) for k, i in TOTALS.items()}
     columns |= {f"{side}{level}": number(FIRST_LEVEL + 4 * (level - 1) + k) for level in range(1, LEVELS + 1) for k, side in enumerate(("bp", "bv", "ap", "av"))}
-    used = [*TOTALS.values(), *range(FIRST_LEVEL, LAST + 1)]
-    sound = (F.size("_f") > LAST + 1) & at(0).rlike("^[0-9]{8}$") & at(1).rlike("^[0-9]{6}$") & F.forall(F.array(*[at(i) for i in used]), lambda x: x.rlike("^[0-9]{0,18}$"))
-    rows = lines.where(is_data(F.col(line))).withColumn("_f", f)
-    rows = rows.withColumns({"bad": ~F.coalesce(sound, F.lit(False)), "trading_day": at(0)})
+    rows = lines.where(is_data(F.col(line))).withColumns({"_f": f, "bad": ~F.col(line).rlike(FORMAT)})
+    rows = rows.withColumn("trading_day", at(0))
     time = F.when(~F.col("bad"), at(1))
     return rows.withColumns({"day": F.substring("trading_day", 5, 4), "sec": to_seconds(time), **{k: F.when(~F.col("bad"), v) for k, v in columns.items()}}).drop("_f", line)
 
