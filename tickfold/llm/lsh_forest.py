@@ -6,10 +6,10 @@
    enough prefix are candidates. The least depth is the largest at which a pair at the threshold is missed by all trees
    with chance under ``MISS``. Where more than ``REGION`` classes share that prefix the region is cut by a deeper
    prefix, and again, until its parts are small: the depth adapts to the density. A part is compared all against all in
-   one task, by the share of equal minima, and only a spanning forest of what looks similar leaves it: no pairs.
+   one task, by the share of equal minima, and only a star over each set of similar ones leaves it: no pairs.
 3. Confirmation: components of those rough links bring together all that can be linked. Their texts are read again and
    links are decided on full sets, by counting shared shingles through an inverted index. A component with many texts
-   or shingles is cut into random blocks and each pair of blocks is one task's work; again only spanning forests leave.
+   or shingles is cut into random blocks and each pair of blocks is one task's work; again only stars leave.
 4. Components of the confirmed links, and the smallest id of each.
 
 Defined results: words are runs of other characters than U+0009 to U+000D and space, with A-Z lowered; a text with
@@ -101,9 +101,17 @@ class Union:
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
 
+    def stars(self, names: list[int]) -> list[tuple[int, int]]:
+        """(smallest name of its part, name) of every other member: what the same part gives in many regions is one link."""
+        least: dict[int, int] = {}
+        for i, x in enumerate(names):
+            r = self.root(i)
+            least[r] = min(x, least.get(r, x))
+        return [(a, x) for i, x in enumerate(names) if (a := least[self.root(i)]) != x]
+
 
 def forest_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Rough links (a, b) between classes (node, minima): spanning forests of what looks similar in each tree's regions."""
+    """Rough links (a, b) between classes (node, minima): stars over what looks similar in each tree's regions."""
     least = depth_for(similarity)
     rough = similarity - 5 * float(np.sqrt(similarity * (1 - similarity) / (TREES * DEPTH)))
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("minima", 2 * DEPTH * t + 1, 2 * DEPTH).alias("order")) for t in range(TREES)])
@@ -133,13 +141,11 @@ def forest_links(classes: DataFrame, similarity: float) -> DataFrame:
 
         def links(nodes: list[int], minima: list[bytes]) -> list[tuple[int, int]]:
             m = np.frombuffer(b"".join(minima), ">u2").reshape(len(minima), -1).astype(np.uint16)
-            sets, out = Union(len(nodes)), []
+            sets = Union(len(nodes))
             for i in range(1, len(nodes)):
-                for j in np.flatnonzero((m[:i] == m[i]).sum(1) >= need)[::-1].tolist():
-                    if sets.root(i) != sets.root(j):
-                        sets.join(i, j)
-                        out.append((nodes[i], nodes[j]))
-            return out
+                for j in np.flatnonzero((m[:i] == m[i]).sum(1) >= need).tolist():
+                    sets.join(i, j)
+            return sets.stars(nodes)
 
         region, nodes, minima = None, [], []
         for batch in batches:
@@ -159,15 +165,16 @@ def forest_links(classes: DataFrame, similarity: float) -> DataFrame:
     return cut(dealt.mapInArrow(scan, "a long, b long").distinct(), "rough")
 
 
-def linked(sets: list[np.ndarray], percent: int, cross: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: 100 * intersection >= percent * union. cross: only from before that place to after it."""
+def linked(sets: list[np.ndarray], percent: int, cross: int | None = None) -> Union:
+    """The parts that links make of sets: 100 * intersection >= percent * union. cross: only links from before that place to after it."""
     n, size = len(sets), np.array([len(s) for s in sets], np.int64)
-    union, out = Union(n), []
+    union = Union(n)
     if n == 2:
         shared = len(np.intersect1d(*sets, assume_unique=True))
-        return [(0, 1)] if shared and 100 * shared >= percent * (size.sum() - shared) else []
-    if n < 2:
-        return []
+        if shared and 100 * shared >= percent * (size.sum() - shared):
+            union.join(0, 1)
+    if n <= 2:
+        return union
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
     of = np.repeat(np.arange(n), size)
     by = np.argsort(code, kind="stable")
@@ -183,14 +190,12 @@ def linked(sets: list[np.ndarray], percent: int, cross: int | None = None) -> li
         shared = np.bincount(posts[at], minlength=n)[: i if cross is None else cross]
         hit = np.flatnonzero((shared > 0) & (100 * shared >= percent * (size[: len(shared)] + size[i] - shared)))
         for j in hit.tolist():
-            if union.root(i) != union.root(j):
-                union.join(i, j)
-                out.append((j, i))
-    return out
+            union.join(i, j)
+    return union
 
 
 def confirm(docs: DataFrame, classes: DataFrame, rough: DataFrame, words: int, percent: int, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Confirmed links (a, b): spanning forests within the tasks that compare full sets."""
+    """Confirmed links (a, b): stars over what links join within the tasks that compare full sets."""
     groups = components(rough, "rough-components").join(classes.select("node", "n", "set_id"), "node")
     sizes = cut(groups.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "component-sizes")
     placed = groups.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -203,7 +208,7 @@ def confirm(docs: DataFrame, classes: DataFrame, rough: DataFrame, words: int, p
         def links(job: tuple, own: dict[tuple[int, int], np.ndarray]) -> list[tuple[int, int]]:
             nodes = [k[1] for k in own]
             cross = None if job[1] == job[2] else sum(k[0] == job[1] for k in own)
-            return [(nodes[i], nodes[j]) for i, j in linked(list(own.values()), percent, cross)]
+            return linked(list(own.values()), percent, cross).stars(nodes)
 
         job, own = None, {}
         for batch in batches:
@@ -219,7 +224,7 @@ def confirm(docs: DataFrame, classes: DataFrame, rough: DataFrame, words: int, p
         last = links(job, own) if job else []
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in last], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return cut(jobs.mapInArrow(run, "a long, b long"), "links")
+    return cut(jobs.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
