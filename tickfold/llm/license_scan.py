@@ -64,12 +64,13 @@ def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
 
 
 class Library:
-    """Templates by class (shingle length, m) with their sets and the values of their bands."""
+    """Templates by class (shingle length, m) with their sets and the values of their bands.
+
+    A template of one shingle needs no overlap and one band: its window is one shingle, equal or not.
+    """
 
     def __init__(self, templates: dict[str, str]) -> None:
-        self.bands = bands_for(CONTAINED / (3 - CONTAINED))
         rng = np.random.default_rng(11)
-        self.a = rng.integers(0, 2**63, self.bands * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         self.classes: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
         for name, text in templates.items():
             words = word_hashes(text)
@@ -77,41 +78,47 @@ class Library:
                 size = min(SHINGLE, len(words))
                 own = np.unique(shingle_hashes(words, size))
                 self.classes.setdefault((size, 1 << (len(own) - 1).bit_length()), []).append((name, own))
-        self.values = {c: [np.array([self.minima(s).min(1) for _, s in own]), None] for c, own in self.classes.items()}
-        for v in self.values.values():
-            v[1] = [np.isin(np.arange(65536), b & np.uint64(65535)) for b in v[0].T]
+        self.classes = dict(sorted(self.classes.items()))
+        self.a = rng.integers(0, 2**31, bands_for(CONTAINED / (3 - CONTAINED)) * ROWS, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
+        self.values = {}
+        for (size, m), own in self.classes.items():
+            values = np.array([self.minima(s, 1 if m == 1 else len(self.a)).min(1) for _, s in own])
+            quick = np.zeros((values.shape[1], 65536), bool)  # by band and the value's last bits
+            quick[np.arange(values.shape[1])[None, :], values & np.uint32(65535)] = True
+            self.values[size, m] = (values, quick.reshape(-1), (np.arange(values.shape[1], dtype=np.uint32) << np.uint32(16))[:, None])
 
-    def minima(self, shingles: np.ndarray) -> np.ndarray:
+    def minima(self, shingles: np.ndarray, functions: int) -> np.ndarray:
         """functions x shingles"""
-        x = shingles[None, :] * self.a[:, None]
-        return x ^ (x >> np.uint64(31))
+        x = (shingles >> np.uint64(32)).astype(np.uint32)[None, :] * self.a[:functions, None]
+        return x ^ (x >> np.uint32(15))
 
     def find(self, text: str) -> dict[str, tuple[float, int, int]]:
         """name -> (containment, first word of the window, words of the window)"""
         out: dict[str, tuple[float, int, int]] = {}
-        words, made = word_hashes(text), {}
+        words, before, last = word_hashes(text), (0, 0, None), 0  # before: shingle length, m and minima of the last pieces
         for (size, m), own in self.classes.items():
-            if size not in made:
-                s = shingle_hashes(words, size)
-                made[size] = (s, *([self.minima(s[i : i + 4096]) for i in range(0, len(s), 4096)] or [None]))
-            s = made[size][0]
+            if size != last:
+                s, last = shingle_hashes(words, size), size
             if not len(s):
                 continue
-            values, quick = self.values[size, m]
-            hashed = made[size][1] if len(made[size]) == 2 else np.concatenate(made[size][1:], 1)
-            pieces = np.minimum.reduceat(hashed, np.arange(0, len(s), m), axis=1)
-            windows = np.minimum(pieces, np.concatenate((pieces[:, 1:], pieces[:, -1:]), 1))
-            hits = np.zeros(windows.shape[1], bool)
-            for k in range(len(windows)):  # a band is one row
-                hits |= quick[k][windows[k] & np.uint64(65535)]
-            for w in np.flatnonzero(hits).tolist():
-                near = (values == windows[:, w][None, :]).any(1)
-                part = s[w * m : (w + 2) * m]
-                for t in np.flatnonzero(near).tolist():
+            values, quick, bands = self.values[size, m]
+            if m == 1:
+                windows = self.minima(s, 1)
+            else:
+                if before[0] == size:
+                    pieces = np.minimum.reduceat(before[2], np.arange(0, before[2].shape[1], m // before[1]), axis=1)
+                else:  # a run of whole pieces at a time
+                    run = m * max(1, 4096 // m)
+                    pieces = np.concatenate([np.minimum.reduceat(h := self.minima(s[i : i + run], len(self.a)), np.arange(0, h.shape[1], m), axis=1) for i in range(0, len(s), run)], 1)
+                before = (size, m, pieces)
+                windows = np.minimum(pieces, np.concatenate((pieces[:, 1:], pieces[:, -1:]), 1))
+            for w in np.flatnonzero(quick[windows & np.uint32(65535) | bands].any(0)).tolist():  # a band is one row
+                part = s[w * m : (w + 2) * m] if m > 1 else s[w : w + 1]
+                for t in np.flatnonzero((values == windows[:, w][None, :]).any(1)).tolist():
                     name, full = own[t]
                     share = float(np.isin(full, part).sum()) / len(full)
                     if share >= CONTAINED and share > out.get(name, (0.0,))[0]:
-                        out[name] = (share, w * m, min(len(words) - w * m, 2 * m + size - 1))
+                        out[name] = (share, w * m, len(part) + size - 1)
         return out
 
 
