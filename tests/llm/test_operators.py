@@ -453,6 +453,16 @@ def test_components_in_blocks_and_deep_regions(spark, monkeypatch):
     assert lsh_forest.near_duplicates(empty(spark)).count() == 0
 
 
+def test_dense_group_of_added_words_stays_whole(spark, monkeypatch):
+    """Texts that share a body and add words of their own agree in all minima of most trees: one region, over REGION."""
+    body = " ".join(words(400, 78, 3000))
+    texts = [(i, f"{body} own{i}") for i in range(70)]
+    _, root = brute(texts, 3, 85)
+    monkeypatch.setattr(lsh_forest, "REGION", 20)
+    got = lsh_forest.near_duplicates(docs_of(spark, texts), words=3, percent=85).collect()
+    assert set(root.values()) == {0} and {r.doc_id: r.component_id for r in got} == root and [r.doc_id for r in got if r.kept] == [0]
+
+
 def test_depth_keeps_its_promise():
     for s in (0.5, 0.8, 0.85, 0.95):
         assert (1 - s ** lsh_forest.depth_for(s)) ** lsh_forest.TREES <= lsh_forest.MISS or lsh_forest.depth_for(s) == 1

@@ -6,7 +6,8 @@
    enough prefix are candidates. The least depth is the largest at which a pair at the threshold is missed by all trees
    with chance under ``MISS``. Where more than ``REGION`` classes share that prefix the region is cut by a deeper
    prefix, and again, until its parts are small: the depth adapts to the density. A part is compared all against all in
-   one task, by the share of equal minima, and only a star over each set of similar ones leaves it: no pairs.
+   one task, by the share of equal minima, and only a star over each set of similar ones leaves it: no pairs. A part
+   still dense when all ``DEPTH`` minima agree becomes one star without being compared here.
 3. Confirmation: components of those rough links bring together all that can be linked. Their texts are read again and
    links are decided on full sets, by counting shared shingles through an inverted index. A component with many texts
    or shingles is cut into random blocks and each pair of blocks is one task's work; again only stars leave.
@@ -119,20 +120,18 @@ def forest_links(classes: DataFrame, similarity: float) -> DataFrame:
     depth, regions = least, None
     rows = rows.withColumn("region", F.xxhash64("tree", F.substring("order", 1, 2 * depth)))
     while True:
-        sizes = cut(rows.groupBy("region").count().where("count > 1"), "region-sizes")  # written, so that a hot region's join can be split
-        live = cut(rows.join(sizes, "region").select("node", "tree", "order", "region", "count"), "regions")
+        sizes = rows.groupBy("region").agg(F.count("*").alias("count"), F.min("node").alias("first")).where("count > 1")
+        sizes = cut(sizes, "region-sizes")  # written, so that a hot region's join can be split
+        live = cut(rows.join(sizes, "region").select("node", "tree", "order", "region", "count", "first"), "regions")
         small = live.where(F.col("count") <= REGION).select("node", "region", "order")
         regions = small if regions is None else regions.union(small)
-        depth = min(DEPTH, depth + 2)
         dense = live.where(F.col("count") > REGION)
-        if not dense.limit(1).count():
-            break
-        # what is as deep as a tree goes and still dense is compared in random parts, which meet in the other trees
-        salt = [F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / REGION))] if depth == DEPTH else []
-        rows = dense.select("node", "tree", "order", F.xxhash64("region", F.substring("order", 1, 2 * depth), *salt).alias("region"))
-        if salt and depth == DEPTH:
-            regions = regions.union(rows.select("node", "region", "order"))
+        if depth == DEPTH or not dense.limit(1).count():
             break
+        depth = min(DEPTH, depth + 2)
+        rows = dense.select("node", "tree", "order", F.xxhash64("region", F.substring("order", 1, 2 * depth)).alias("region"))
+    # what is as deep as a tree goes and still dense is linked whole: confirmation compares all of it
+    stars = dense.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     whole = regions.join(classes, "node").select("region", "order", "node", "minima")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +161,7 @@ def forest_links(classes: DataFrame, similarity: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in last], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     dealt = whole.repartition("region").sortWithinPartitions("region", "order").select("region", "node", "minima")
-    return cut(dealt.mapInArrow(scan, "a long, b long").distinct(), "rough")
+    return cut(dealt.mapInArrow(scan, "a long, b long").union(stars).distinct(), "rough")
 
 
 def linked(sets: list[np.ndarray], percent: int, cross: int | None = None) -> Union:
