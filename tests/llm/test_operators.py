@@ -320,6 +320,15 @@ def test_planted_passages_are_found_and_others_left(spark):
     assert decontamination.contaminated(empty(spark), bench).count() == 0
 
 
+def test_parts_of_a_common_item_are_found(spark):
+    """All n-grams of the item are common, and those of the part are in more texts than the others."""
+    item = words(40, 2000, 5000)
+    texts = [(i, " ".join(words(20, i, 3000) + item[: 20 if i < 10 else None])) for i in range(130)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == {i: 0.5 if i < 10 else 1.0 for i in range(130)}
+
+
 def test_alignment_against_the_textbook():
     def plain(a, b):
         h = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -1,16 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. One pass over the texts finds every n-gram of the test items, exactly, and keeps of each text only the stretches
    around such hits, as word numbers of the items' vocabulary (other words cannot match). They are written.
-2. Counting the texts that hold each n-gram tells which are rare: those in at most ``RARE`` of all texts (or ``FEW``
-   texts), and of every item in any case the ``SEEDS`` rarest, so that none is without seeds.
-3. A stretch with a rare seed of an item is aligned with it: local alignment, a match 1, a mismatch or gap -0.5. The
-   score is the best alignment's over the item's words; edits cost some of it but not the rest. At ``SCORE`` the text is
-   contaminated.
+2. A stretch with any n-gram of an item is aligned with it, however common the n-gram is: an item whose whole copies are
+   common also has partial ones. Two things that lose nothing save work: a stretch with too few of an item's words to
+   reach ``SCORE`` isn't aligned, and equal spans are aligned once.
+3. The alignment is local, a match 1, a mismatch or gap -0.5. The score is the best alignment's over the item's words;
+   edits cost some of it but not the rest. At ``SCORE`` the text is contaminated.
 
 Test items go out in blocks of at most ``BLOCK_WORDS`` words, one pass for each, so nothing unbounded is sent to tasks
-or the driver. A common passage makes many stretches but no pairs of texts, and no key is grouped but n-grams, counted
-with partial sums.
+or the driver. A common passage makes many stretches but no pairs of texts, and no key is grouped but text and item.
 
 Defined results: null or empty texts and items match nothing; an item of fewer words than a seed has one seed, all its
 words; a null id is kept; equal rows give equal rows, of which one is kept; an empty table on either side gives none.
@@ -20,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from tickfold.llm.shared import cut
 
-SEED, RARE, FEW, SEEDS, SCORE, BLOCK_WORDS = 5, 0.02, 50, 12, 0.4, 1_000_000
+SEED, SCORE, BLOCK_WORDS = 5, 0.4, 1_000_000
+#: Alignments a task remembers.
+CACHED = 10_000
 #: Words are runs of other characters than white space and these marks.
 WORD = re.compile(r"[^\s.,;:!?\"'()\[\]{}<>*#$%&|]+")
 STRETCH = "doc_id long, start long, words array<int>, grams array<long>, places array<int>"
@@ -127,21 +129,37 @@ def stretches(docs: DataFrame, items: Items, *, text: str = "text", doc_id: str
     return cut(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, STRETCH), "stretches")
 
 
-def seeds(found: DataFrame, items: Items, n_docs: int) -> dict[int, set[int]]:
-    """n-gram -> items, of the rare ones; the counts that come to the driver are no more than the block's n-grams."""
-    each = found.select("doc_id", F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    n = {r["g"]: r["n"] for r in each.collect()}
-    most = max(FEW, int(RARE * n_docs))
-    rare = {g for g, k in n.items() if k <= most}
-    for k, w in enumerate(items.words):
-        own = sorted((g for g in set(grams(w, min(SEED, len(w))).tolist()) if g in n), key=lambda g: (n[g], g)) if len(w) else []
-        rare.update(own[:SEEDS])
-    return {g: items.of[g] for g in rare}
+class Aligner:
+    """Alignments of a block's items, each once for equal spans, as hot passages bring the same span again and again."""
+
+    def __init__(self, items: Items, score: float) -> None:
+        self.items, self.score = items, score
+        self.own = [np.unique(w, return_counts=True) for w in items.words]
+        self.known = lru_cache(CACHED)(self.aligned)
+
+    def aligned(self, k: int, span: bytes) -> tuple[float, int, int]:
+        return align(self.items.words[k], np.frombuffer(span, np.int64))
+
+    def __call__(self, k: int, span: np.ndarray) -> tuple[float, int, int] | None:
+        """(score, first and last place in span) of item k, or None below the score.
+
+        An alignment matches no more words than item and span have in common, so where those are too few it is not made.
+        """
+        words, times = self.own[k]
+        at = np.minimum(np.searchsorted(words, span), len(words) - 1)
+        same = words[at] == span
+        if np.minimum(np.bincount(at[same], minlength=len(words)), times).sum() / len(self.items.words[k]) < self.score:
+            return None
+        where = np.flatnonzero(same)
+        low, high = int(where[0]), int(where[-1]) + 1
+        points, first, last = self.known(k, np.where(same, span, -1)[low:high].tobytes())
+        points /= len(self.items.words[k])
+        return (points, low + first, low + last) if points >= self.score else None
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """RESULT: a row for each text and item whose best alignment reaches score."""
-    spark, n_docs = docs.sparkSession, docs.count()
+    spark = docs.sparkSession
     own = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     total = own.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // (6 * BLOCK_WORDS)))
@@ -151,16 +169,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE,
         if not len(items.known):
             continue
         found = stretches(docs, items, text=text, doc_id=doc_id)
-        rare = seeds(found, items, n_docs)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, rare: dict[int, set[int]] = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
+            aligner = Aligner(items, score)
             for batch in batches:
                 out = []
                 for i, start, words, g, at in zip(*(c.to_pylist() for c in batch.columns)):
                     words = np.array(words, np.int64)
                     where: dict[int, list[int]] = {}
                     for x, p in zip(g, at):
-                        for k in rare.get(x, ()):
+                        for k in items.of[x]:
                             where.setdefault(k, []).append(p)
                     for k, places in where.items():
                         reach = len(items.words[k]) * 5 // 4 + SEED
@@ -171,9 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE,
                             else:
                                 spans.append([max(0, p - reach), p + reach])
                         for low, high in spans:
-                            points, a, z = align(items.words[k], words[low:high])
-                            if points / len(items.words[k]) >= score:
-                                out.append((i, items.ids[k], points / len(items.words[k]), start + low + a, start + low + z))
+                            if best := aligner(k, words[low:high]):
+                                out.append((i, items.ids[k], best[0], start + low + best[1], start + low + best[2]))
                 columns = list(zip(*out)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in RESULT.split(", ")])
