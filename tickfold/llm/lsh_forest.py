@@ -5,9 +5,10 @@
 2. Forest: every tree orders the classes by its own run of minima. Neighbours in a tree's order that agree in a long
    enough prefix are candidates. The least depth is the largest at which a pair at the threshold is missed by all trees
    with chance under ``MISS``. Where more than ``REGION`` classes share that prefix the region is cut by a deeper
-   prefix, and again, until its parts are small: the depth adapts to the density. A part is compared all against all in
-   one task, by the share of equal minima, and only a star over each set of similar ones leaves it: no pairs. A part
-   still dense when all ``DEPTH`` minima agree becomes one star without being compared here.
+   prefix, and again, until its parts are small: the depth adapts to the density, and ``MISS`` no longer bounds the
+   chance there (at depth d it is up to (1 - similarity^d)^TREES for a pair that no other member links). A part is
+   compared all against all in one task, by the share of equal minima, and only a star over each set of similar ones
+   leaves it: no pairs. A part still dense when all ``DEPTH`` minima agree becomes one star without being compared here.
 3. Confirmation: components of those rough links bring together all that can be linked. Their texts are read again and
    links are decided on full sets, by counting shared shingles through an inverted index. A component with many texts
    or shingles is cut into random blocks and each pair of blocks is one task's work; again only stars leave.
