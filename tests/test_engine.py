@@ -30,6 +30,10 @@ def line(time, ap1=102, bp1=100, volume=10, day="20240102", **at):
     return ",".join(f)
 
 
+def book_time(sec):
+    return f"{sec // 3600:02d}{sec // 60 % 60:02d}{sec % 60:02d}"
+
+
 def tree(root, files):
     for name, lines in files.items():
         p = root / name / "snapshot.csv"
@@ -96,7 +100,102 @@ def test_days_can_be_chosen_and_misplaced_rows_are_told(spark, tmp_path):
     assert src.read_snapshots(spark, root, ["0102"]).select("day").distinct().count() == 1
     assert src.misplaced(src.read_snapshots(spark, root)).count() == 1
     assert src.read_snapshots(spark, f"{root}/*/*/snapshot.csv").count() == 2
-    assert src.check_sizes(spark, root) == []
+
+
+def test_files_of_many_splits_keep_their_order(spark, tmp_path):
+    """Splits of 1 KB, dealt to tasks in any order: the row before is still that of the file."""
+    lines = [HEAD] + [line(book_time(34200 + 3 * i), ap1=102 + i * i % 17) for i in range(120)]
+    root = tree(tmp_path, {"0102/a": lines, "0102/b": lines[:40]})
+    whole = factors_of(spark, root)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(f"{root}/*/*/snapshot.csv").rdd.getNumPartitions() > 20
+        parts = {}
+        for r in fac.snapshot_factors(src.read_snapshots(spark, root), ("stock",)).collect():
+            parts.setdefault((r.day, r.stock), []).append(r)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {k: len(v) for k, v in parts.items()} == {("0102", "a"): 120, ("0102", "b"): 39}
+    for k, v in parts.items():
+        assert [(r.sec, r.alpha_17) for r in sorted(v, key=lambda r: r.sec)] == [(r.sec, r.alpha_17) for r in whole[k]]
+
+
+def test_too_many_bad_lines_publish_nothing(spark, tmp_path, caplog):
+    root = tree(tmp_path / "in", {"0102/a": [line("093000"), line("93000")], "0103/a": [line("093000")]})
+    with pytest.raises(ValueError, match="1 of 3 lines"):
+        job.factor_job(spark, root, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists() and not [x for x in os.listdir(tmp_path) if x.startswith("out")]
+    with caplog.at_level("INFO", "tickfold"):
+        job.factor_job(spark, root, str(tmp_path / "out"), most_bad=0.5, mode="days")
+    assert "3 lines, 1 out of format, 1 in the folder of another day" in caplog.text and (tmp_path / "out/0103.csv").exists()
+
+
+def test_one_partition_a_day(spark):
+    days = [f"{m:02d}{d:02d}" for m in range(1, 13) for d in range(1, 26)]
+    rows = spark.createDataFrame([(d, i) for d in days for i in range(3)], "day string, i int")
+    dealt = day_csv.by_day(rows, days)
+    assert dealt.rdd.getNumPartitions() == 300
+    assert {tuple(r) for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("day"), F.count("*")).select("count(DISTINCT day)", "count(1)").collect()} == {(1, 3)}
+
+
+def test_whole_days_need_one_exchange(spark, tmp_path):
+    root = tree(tmp_path, {"0102/a": [line("093000"), line("093003", ap1=105)], "0103/b": [line("093000", ap1=107)]})
+    rows = src.read_snapshots(spark, root)
+    means = fac.day_local_means(rows)
+    assert means._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(means.collect()) == sorted(fac.factor_means(rows).collect())
+
+
+def test_newest_run_is_the_root_or_right_in_it(spark, tmp_path):
+    for name in ("run_1/0102.csv", "run_2/0102.csv", "run_2/deeper/0102.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    os.utime(tmp_path / "run_1/0102.csv", (2e9, 2e9))
+    os.utime(tmp_path / "run_2/deeper/0102.csv", (3e9, 3e9))
+    assert src.newest_run(spark, str(tmp_path)).endswith("/run_1") and src.newest_run(spark, str(tmp_path / "run_2/none")) is None
+
+
+def test_results_with_other_columns_and_orders_are_read_together(spark, tmp_path):
+    (tmp_path / "0102.csv").write_text(",".join(day_csv.HEADER) + "\n" + ",".join(["93000"] + [str(i) for i in range(1, 21)]) + "\n")
+    head = ["more", *reversed(day_csv.HEADER)]
+    (tmp_path / "0103.csv").write_text(",".join(head) + "\n" + ",".join(["x", *[str(i) for i in range(20, 0, -1)], "093003"]) + "\n")
+    got = {(r.day, r.tradeTime): [r[a] for a in book.ALPHAS] for r in day_csv.read_days(spark, str(tmp_path)).collect()}
+    assert got == {("0102", "093000"): [float(i) for i in range(1, 21)], ("0103", "093003"): [float(i) for i in range(1, 21)]}
+    (tmp_path / "0104.csv").write_text("tradeTime,alpha_1\n")
+    with pytest.raises(ValueError, match="0104.csv lacks alpha_2"):
+        day_csv.read_days(spark, str(tmp_path))
+
+
+def test_results_are_fetched_and_threads_are_told(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/0102.csv").write_text("x")
+    job.fetch(spark, str(tmp_path / "out"), str(tmp_path / "copy"))
+    assert (tmp_path / "copy/0102.csv").read_text() == "x"
+    busy = next(job.monitor(os.getpid(), 0.1, 3))
+    assert 1 <= len(busy) <= 3 and all(t in job.threads(os.getpid()) for t, _, _ in busy) and not job.threads(2**30)
+
+
+def test_mixture_is_a_fixed_point_of_expectation_maximisation(spark):
+    """One more step by hand leaves weights, means and variances where they are; the density grid is the textbook's."""
+    dice = random.Random(4)
+    x = [dice.gauss(*dice.choice([(5.8, 0.1), (6.7, 0.15), (7.6, 0.1)])) for _ in range(3000)]
+    parts = stats.mixture(spark.createDataFrame([(v,) for v in x], "elapsed double")).orderBy("component").collect()
+    pdf = lambda v, p: p.weight * math.exp(-((v - p["mean"]) ** 2) / (2 * p.variance)) / math.sqrt(2 * math.pi * p.variance)
+    share = [[pdf(v, p) / sum(pdf(v, q) for q in parts) for p in parts] for v in x]
+    for k, p in enumerate(parts):
+        n = sum(s[k] for s in share)
+        mean = sum(s[k] * v for s, v in zip(share, x)) / n
+        assert (p.weight, p["mean"], p.variance) == pytest.approx((n / len(x), mean, sum(s[k] * (v - mean) ** 2 for s, v in zip(share, x)) / n), abs=0.02)
+    rows = spark.createDataFrame(parts)
+    for r in stats.densities(rows, 5.0, 8.0, 7).collect():
+        assert r.density == pytest.approx(sum(pdf(r.x, p) for p in parts))
+
+
+def test_approximate_quantiles_are_within_their_rank(spark):
+    runs = spark.range(20_000).select((F.col("id") * 7919 % 20_000).cast("double").alias("elapsed"))
+    assert abs(stats.summary(runs, accuracy=200).first()["median"] - 10_000) <= 100 + 1
+    b = stats.box(runs, accuracy=200).first()
+    assert abs(b.q1 - 5000) <= 101 and abs(b.q3 - 15_000) <= 101
 
 
 def test_factor_values(spark):
@@ -159,9 +258,10 @@ def test_shortest_floats():
 
 def test_job_writes_days_that_read_back_and_validate(spark, tmp_path, capsys):
     root = tree(tmp_path / "in", {"0102/a": [line("093000"), line("093003", ap1=105)], "0102/b": [line("093000", ap1=107)], "0103/a": [HEAD], "0104/a": [line("100000", day="20240104")]})
+    (tmp_path / "in/0105").mkdir()
     out = str(tmp_path / "out")
     assert job.factor_job(spark, root, out) > 0
-    assert sorted(x for x in os.listdir(out) if not x.startswith(".")) == ["0102.csv", "0103.csv", "0104.csv"]
+    assert sorted(x for x in os.listdir(out) if not x.startswith(".")) == ["0102.csv", "0103.csv", "0104.csv", "0105.csv"]
     text = (tmp_path / "out/0102.csv").read_text().splitlines()
     assert text[0] == ",".join(day_csv.HEADER) and [x[:6] for x in text[1:]] == ["093000", "093003"]
     assert text[1].split(",")[1] == "4.5" and (tmp_path / "out/0103.csv").read_text() == text[0] + "\n"

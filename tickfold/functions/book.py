@@ -130,5 +130,10 @@ def relative_error(truth: Column, found: Column, epsilon: float = EPSILON) -> Co
     return F.coalesce(F.abs(truth - found) / F.abs(truth + F.lit(epsilon)), F.lit(float("nan")))
 
 
+def vector_text(columns: tuple[str, ...] = ALPHAS) -> Column:
+    """A vector of numbers as a line for logs."""
+    return F.concat(F.lit("Factors: ["), F.concat_ws(", ", *[F.col(c).cast("string") for c in columns]), F.lit("]"))
+
+
 def metric(value: Column) -> Column:
     return F.when(value == 0, "0").otherwise(F.format_string("%.2e", value))

@@ -18,11 +18,18 @@ def group(elapsed: Column, cuts: tuple[float, ...] = CUTS) -> Column:
     return sum(((elapsed >= c).cast("int") for c in cuts), F.lit(0))
 
 
-def summary(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def _quantiles(places: tuple[float, ...], accuracy: int | None) -> Column:
+    """Exact quantiles, for which a task holds the distinct values of a group, or with accuracy such whose rank is off by
+    at most a share of 1 / accuracy, from a sketch of bounded size."""
+    at = F.array(*[F.lit(p) for p in places])
+    return F.percentile("elapsed", at) if accuracy is None else F.percentile_approx("elapsed", at, accuracy)
+
+
+def summary(runs: DataFrame, by: tuple[str, ...] = (), accuracy: int | None = None) -> DataFrame:
     """by, runs, n (those that ended), mean, median, sd, se, min and max; sd and se are 0 for a single run."""
     e = F.col("elapsed")
     sd = F.coalesce(F.stddev_samp(e), F.lit(0.0))
-    return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.count(e).alias("n"), F.avg(e).alias("mean"), F.median(e).alias("median"), sd.alias("sd"), (sd / F.sqrt(F.count(e))).alias("se"), F.min(e).alias("min"), F.max(e).alias("max"))
+    return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.count(e).alias("n"), F.avg(e).alias("mean"), F.get(_quantiles((0.5,), accuracy), F.lit(0)).alias("median"), sd.alias("sd"), (sd / F.sqrt(F.count(e))).alias("se"), F.min(e).alias("min"), F.max(e).alias("max"))
 
 
 def histogram(runs: DataFrame, bins: int = 150) -> DataFrame:
@@ -36,10 +43,10 @@ def histogram(runs: DataFrame, bins: int = 150) -> DataFrame:
     return binned.groupBy("bin").agg(F.count("*").alias("n"), (F.count("*") / (F.first("all") * F.first("w"))).alias("density"))
 
 
-def box(runs: DataFrame) -> DataFrame:
+def box(runs: DataFrame, accuracy: int | None = None) -> DataFrame:
     """q1, median, q3, the whiskers' ends within 1.5 ranges of the quartiles, and how many runs lie beyond."""
     rows = valid(runs)
-    q = rows.agg(F.percentile("elapsed", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*[F.get("q", i).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = rows.agg(_quantiles((0.25, 0.5, 0.75), accuracy).alias("q")).select(*[F.get("q", i).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col("elapsed").between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.crossJoin(F.broadcast(q)).groupBy("q1", "median", "q3").agg(F.min(F.when(near, F.col("elapsed"))).alias("low"), F.max(F.when(near, F.col("elapsed"))).alias("high"), F.count_if(~near).alias("fliers"))

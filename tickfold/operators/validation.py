@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickfold.functions.book import ALPHAS, metric, relative_error
+from tickfold.functions.book import ALPHAS, EPSILON, metric, relative_error
 
 THRESHOLD = 0.01
 WINDOW = ("093000", "145700")
@@ -16,15 +16,16 @@ def in_window(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("tradeTime").between(*WINDOW))
 
 
-def aligned(gold: DataFrame, found: DataFrame) -> DataFrame:
+def aligned(gold: DataFrame, found: DataFrame, epsilon: float = EPSILON, days: list[str] | None = None) -> DataFrame:
     """day, tradeTime and a relative error for each factor, of the full outer join; NaN where one side is missing.
-    Only days of gold count; other days are told by ``extra_days``."""
+    Only days of gold count; other days are told by ``extra_days``. days: those of gold, where they are known."""
     for rows in (gold, found):
         if missing := [a for a in ALPHAS if a not in rows.columns]:
             raise ValueError(f"missing {', '.join(missing)}")
-    a, b = in_window(gold).alias("a"), in_window(found.join(gold.select("day").distinct(), "day", "left_semi")).alias("b")
+    own = found.where(F.col("day").isin(days)) if days is not None else found.join(gold.select("day").distinct(), "day", "left_semi")
+    a, b = in_window(gold).alias("a"), in_window(own).alias("b")
     both = a.join(b, (F.col("a.day") == F.col("b.day")) & (F.col("a.tradeTime") == F.col("b.tradeTime")), "full_outer")
-    return both.select(F.coalesce("a.day", "b.day").alias("day"), F.coalesce("a.tradeTime", "b.tradeTime").alias("tradeTime"), *[relative_error(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in ALPHAS])
+    return both.select(F.coalesce("a.day", "b.day").alias("day"), F.coalesce("a.tradeTime", "b.tradeTime").alias("tradeTime"), *[relative_error(F.col(f"a.{c}"), F.col(f"b.{c}"), epsilon).alias(c) for c in ALPHAS])
 
 
 def errors_by_day(errors: DataFrame) -> DataFrame:

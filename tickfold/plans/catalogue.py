@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickfold.functions.book import ALPHAS, BOOK, SNAPSHOT, compact_time, compact_time_30, depth_sums, in_session, levels_array, metric, pack_key, to_hhmmss, to_seconds, unpack_day, unpack_seconds
+from tickfold.functions.book import ALPHAS, BOOK, SNAPSHOT, compact_time, compact_time_30, depth_sums, in_session, levels_array, metric, pack_key, to_hhmmss, to_seconds, unpack_day, unpack_seconds, vector_text
 from tickfold.functions.floats import shortest_float
 from tickfold.operators import factors as fac
 from tickfold.operators import statistics as stats
 from tickfold.operators import validation as val
+from tickfold.plans import job
+from tickfold.sources import day_csv
 from tickfold.sources import snapshots as src
 from tickfold.sources.day_csv import keep_first
+from tickfold.sources.scratch import cut, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,6 +100,9 @@ def means_sql(alphas: tuple[str, ...] = ALPHAS, source: str = "snapshots", extra
     return f"WITH {SNAPSHOTS}{extra}, {with_factors(source)} SELECT day, sec, {', '.join(f'round(avg({a}), 6) AS {a}' for a in alphas)} FROM fac GROUP BY day, sec"
 
 
+_HMS = "concat(lpad(CAST(CAST(floor(sec/36e2) AS INT) AS VARCHAR), 2, '0'), lpad(CAST(CAST(floor(sec%3600/6e1) AS INT) AS VARCHAR), 2, '0'), lpad(CAST(sec%60 AS VARCHAR), 2, '0'))"
+
+
 # ---- sources
 
 @query("scan_snapshots", f"WITH {SNAPSHOTS} SELECT {', '.join(SNAPSHOT)} FROM snapshots")
@@ -104,18 +110,91 @@ def scan_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).select(*SNAPSHOT)
 
 
-@query("parse_lines", f"WITH {SNAPSHOTS} SELECT day, CAST(stock AS VARCHAR) AS stock, pos, sec, {', '.join(('tb', 'ta', *(c for c in BOOK if c != 'av1')))}, CASE WHEN h%13=0 THEN 0e0 ELSE av1 END AS av1 FROM snapshots")
-def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots written as lines of 57 fields, some with an empty number, among headers and blank lines, and parsed."""
+def lines_of(rows: DataFrame) -> DataFrame:
+    """day, stock (text), pos and value: snapshots as lines of 57 fields, some with an empty number, among headers and blank lines."""
     whole = lambda c: F.col(c).cast("bigint").cast("string")
     volume = F.when(F.col("h") % 13 == 0, "").otherwise(whole("av1"))
     book = [volume if c == "av1" else whole(c) for c in BOOK]
     line = F.concat_ws(",", F.concat(F.lit("2024"), F.col("day")), to_hhmmss(F.col("sec")), *[F.lit("x")] * 10, whole("tb"), whole("ta"), *[F.lit("7")] * 3, *book, *[F.lit("1")] * 20)
     other = F.when(F.col("h") % 3 == 0, "tradingDay,tradeTime,recvTime").when(F.col("h") % 3 == 1, "")
-    rows = snapshots(spark, sf_dir).select(F.col("stock").cast("string").alias("stock"), "pos", F.explode(F.array_compact(F.array(line, other))).alias("value"))
+    return rows.select("day", F.col("stock").cast("string").alias("stock"), "pos", F.explode(F.array_compact(F.array(line, other))).alias("value"))
+
+
+_EMPTIED = "CASE WHEN h%13=0 THEN 0e0 ELSE av1 END AS av1"
+
+
+@query("parse_lines", f"WITH {SNAPSHOTS} SELECT day, CAST(stock AS VARCHAR) AS stock, pos, sec, {', '.join(('tb', 'ta', *(c for c in BOOK if c != 'av1')))}, {_EMPTIED} FROM snapshots")
+def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines_of(snapshots(spark, sf_dir)).select("stock", "pos", "value")
     return src.parse_lines(rows).where(~F.col("bad")).select(*SNAPSHOT)
 
 
+# ---- the file job: a tree of snapshot files, what is read of it, and what is written
+
+_FILES: dict[tuple[str, str], str] = {}
+
+
+def file_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a tree <MMDD>/<stock>/snapshot.csv in the shared folder, made once a session, with a day without rows."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FILES:
+        root = new_path(spark, "tree")
+        lines = lines_of(snapshots(spark, sf_dir)).repartition("day", "stock").sortWithinPartitions("day", "stock", "pos")
+        lines.select("day", "stock", "value").write.partitionBy("day", "stock").text(f"{root}/raw")
+        fs, raw = src._fs(spark, f"{root}/raw")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        for s in fs.globStatus(path(f"{root}/raw/day=*/stock=*/part-*")):
+            folder = s.getPath().getParent()
+            to = path(f"{root}/tree/{folder.getParent().getName()[4:]}/{folder.getName()[6:]}")
+            fs.mkdirs(to)
+            fs.rename(s.getPath(), path(to, "snapshot.csv"))
+        fs.mkdirs(path(f"{root}/tree/0109"))
+        fs.delete(raw, True)
+        _FILES[key] = f"{root}/tree"
+    return _FILES[key]
+
+
+def file_run(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a run of the file job over the tree."""
+    out = f"{new_path(spark, 'run')}/run_1"
+    job.factor_job(spark, file_tree(spark, sf_dir), out)
+    return out
+
+
+_TREE = f"{SNAPSHOTS}, files AS (SELECT * REPLACE (CASE WHEN h%13=0 THEN 0e0 ELSE av1 END AS av1) FROM snapshots)"
+_FILE_MEANS = f"WITH {_TREE}, {with_factors('files')}, m AS (SELECT day, sec, {', '.join(f'avg({a}) AS {a}' for a in ALPHAS)} FROM fac GROUP BY day, sec)"
+
+
+@query("file_scan", f"WITH {_TREE} SELECT CAST(stock AS VARCHAR) AS stock, concat('2024', day) AS trading_day, row_number() OVER (PARTITION BY day, stock ORDER BY pos) AS line, day, sec, {', '.join(('tb', 'ta', *BOOK))} FROM files")
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files of the tree, each line in its file's order."""
+    rows = src.read_snapshots(spark, file_tree(spark, sf_dir))
+    rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("day", "stock").orderBy("start", "pos")))
+    return rows.select("stock", "trading_day", "line", "day", "sec", "tb", "ta", *BOOK)
+
+
+@query("file_days", f"WITH {SNAPSHOTS} SELECT DISTINCT day FROM snapshots UNION ALL SELECT '0109'")
+def file_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days by their folders; one has no file."""
+    return spark.createDataFrame([(d,) for d in src.discover_days(spark, file_tree(spark, sf_dir))], "day string")
+
+
+@query("file_job", f"{_FILE_MEANS} SELECT day, {_HMS} AS \"tradeTime\", {', '.join(f'CAST(CAST({a} AS FLOAT) AS DOUBLE) AS {a}' for a in ALPHAS)} FROM m")
+def file_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in, one CSV a day out, read back: means as 32-bit numbers."""
+    rows = day_csv.read_days(spark, file_run(spark, sf_dir))
+    return rows.select("day", "tradeTime", *[F.col(a).cast("float").cast("double").alias(a) for a in ALPHAS])
+
+
+@query("file_output", f"{_FILE_MEANS}, f AS (SELECT day, count(*) AS n, min({_HMS}) AS first, max({_HMS}) AS last FROM m GROUP BY day UNION ALL SELECT '0109', 0, NULL, NULL) SELECT concat(day, '.csv') AS file, 'tradeTime,{','.join(ALPHAS)}' AS header, n, first, last FROM f")
+def file_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files themselves: names, header lines, numbers of rows and the first and last time in the order of lines."""
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    lines = spark.read.text(file_run(spark, sf_dir)).select(name.alias("file"), F.struct(F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("p")).alias("at"), "value", F.col("value").rlike("^[0-9]").alias("data"))
+    time = F.when(F.col("data"), F.substring("value", 1, 6))
+    return lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.count_if("data").alias("n"), F.min_by(time, F.when(F.col("data"), F.col("at"))).alias("first"), F.max_by(time, F.when(F.col("data"), F.col("at"))).alias("last"))
+
+
 @query("day_from_path", f"WITH {SNAPSHOTS} SELECT day AS path_day, CAST(stock AS VARCHAR) AS path_stock, count(*) AS n FROM snapshots GROUP BY 1, 2")
 def day_from_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", F.lit("file:/data"), "day", F.col("stock").cast("string"), F.lit("snapshot.csv"))
@@ -148,9 +227,6 @@ def session_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n_rows"), F.count_if(in_session()).alias("n_emit"), F.count_if(in_session() & F.col("sec").isin(34200, 41400, 46800, 54000)).alias("n_ends"))
 
 
-_HMS = "concat(lpad(CAST(CAST(floor(sec/36e2) AS INT) AS VARCHAR), 2, '0'), lpad(CAST(CAST(floor(sec%3600/6e1) AS INT) AS VARCHAR), 2, '0'), lpad(CAST(sec%60 AS VARCHAR), 2, '0'))"
-
-
 @query("time_codec", f"WITH {SNAPSHOTS} SELECT DISTINCT sec, {_HMS} AS trade_time, sec AS back FROM snapshots")
 def time_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).select("sec").distinct().withColumn("trade_time", to_hhmmss(F.col("sec"))).withColumn("back", to_seconds(F.col("trade_time")))
@@ -218,13 +294,12 @@ _CHANGED = ", ".join(f"round({a}, 6) AS {a}" for a in _CHANGES)
 _BACK = ", back AS (SELECT * REPLACE (34020 + 180*CASE pos WHEN 60 THEN 61 WHEN 61 THEN 60 ELSE pos END AS sec) FROM snapshots)"
 
 
-@query("lag_reset_backwards", f"WITH {SNAPSHOTS}{_BACK}, {with_factors('back')} SELECT day, stock, pos, sec, {_CHANGED} FROM fac WHERE pos BETWEEN 55 AND 75")
+@query("lag_reset_backwards", f"WITH {SNAPSHOTS}{_BACK}, {with_factors('back')} SELECT day, stock, pos, sec, {_CHANGED} FROM fac")
 def lag_reset_backwards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where two rows are swapped in time, the second of them has no row before."""
     swapped = F.when(F.col("pos") == 60, 61).when(F.col("pos") == 61, 60).otherwise(F.col("pos"))
     rows = snapshots(spark, sf_dir).withColumn("sec", (F.lit(34020) + F.lit(180) * swapped).cast("int"))
-    out = fac.snapshot_factors(rows, ("stock", "pos"), _CHANGES).where(F.col("pos").between(55, 75))
-    return rounded(out, _CHANGES).select("day", "stock", "pos", "sec", *_CHANGES)
+    return rounded(fac.snapshot_factors(rows, ("stock", "pos"), _CHANGES), _CHANGES).select("day", "stock", "pos", "sec", *_CHANGES)
 
 
 def _carry(name: str, sec: int) -> None:
@@ -276,9 +351,9 @@ def dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dup_rows_averaged", f"WITH {SNAPSHOTS}, {with_factors()}, f2 AS (SELECT * FROM fac UNION ALL SELECT * FROM fac WHERE stock % 3 = 0) SELECT day, sec, {', '.join(f'round(avg({a}), 6) AS {a}' for a in ALPHAS)}, count(*) AS n FROM f2 GROUP BY day, sec")
 def dup_rows_averaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one stock and time count as often as they come."""
-    rows = fac.snapshot_factors(snapshots(spark, sf_dir), ("stock",))
-    both = rows.unionByName(rows.where(F.col("stock") % 3 == 0))
-    return rounded(both.groupBy("day", "sec").agg(*[F.avg(a).alias(a) for a in ALPHAS], F.count("*").alias("n")), ALPHAS)
+    copies = F.when(F.col("stock") % 3 == 0, 2).otherwise(1)
+    both = fac.snapshot_factors(snapshots(spark, sf_dir), ("stock",)).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    return rounded(both.groupBy("day", "sec").agg(*[(F.sum(a) / F.count(F.lit(1))).alias(a) for a in ALPHAS], F.count("*").alias("n")), ALPHAS)
 
 
 @query("gappy_mean", means_sql(source="gappy", extra=", gappy AS (SELECT * FROM snapshots WHERE h % 7 <> 0)"))
@@ -287,14 +362,26 @@ def gappy_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fac.factor_means(snapshots(spark, sf_dir).where(F.col("h") % 7 != 0)), ALPHAS)
 
 
-_ZERO = f", zero AS (SELECT * REPLACE ({', '.join(f'0e0 AS {c}' for c in BOOK if c[1] == 'v')}, 0e0 AS tb, 0e0 AS ta) FROM snapshots WHERE stock = 1)"
+_ZERO = f", zero AS (SELECT * REPLACE ({', '.join(f'0e0 AS {c}' for c in BOOK if c[1] == 'v')}, 0e0 AS tb, 0e0 AS ta) FROM snapshots)"
 
 
-@query("eps_zero_depth", means_sql(source="zero", extra=_ZERO))
+@query("eps_zero_depth", f"WITH {SNAPSHOTS}{_ZERO}, {with_factors('zero')} SELECT day, stock, sec, {', '.join(f'round({a}, 6) AS {a}' for a in ALPHAS)} FROM fac")
 def eps_zero_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book without volume gives numbers, not errors."""
-    empty = snapshots(spark, sf_dir).where("stock = 1").withColumns({c: F.lit(0.0) for c in (*[c for c in BOOK if c[1] == "v"], "tb", "ta")})
-    return rounded(fac.factor_means(empty), ALPHAS)
+    """A book without volume gives numbers, not errors; row by row, as sums of such large numbers depend on their order."""
+    empty = snapshots(spark, sf_dir).withColumns({c: F.lit(0.0) for c in (*[c for c in BOOK if c[1] == "v"], "tb", "ta")})
+    return rounded(fac.snapshot_factors(empty, ("stock",)), ALPHAS)
+
+
+@query("day_local_mean", means_sql())
+def day_local_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan that deals whole days."""
+    return rounded(fac.day_local_means(snapshots(spark, sf_dir)), ALPHAS)
+
+
+@query("vector_text", f"WITH {SNAPSHOTS} SELECT day, stock, pos, concat('Factors: [', concat_ws(', ', CAST(CAST(tb AS BIGINT) AS VARCHAR), CAST(CAST(ap1 AS BIGINT) AS VARCHAR), CAST(CAST(bv1 AS BIGINT) AS VARCHAR)), ']') AS shown FROM snapshots")
+def vector_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = snapshots(spark, sf_dir).withColumns({c: F.col(c).cast("bigint") for c in ("tb", "ap1", "bv1")})
+    return rows.select("day", "stock", "pos", vector_text(("tb", "ap1", "bv1")).alias("shown"))
 
 
 # ---- results
@@ -325,20 +412,24 @@ win_g AS (SELECT * FROM gold WHERE day <> '0105' AND t BETWEEN '093000' AND '145
 errs AS (SELECT coalesce(g.day, p.day) AS day, coalesce(g.t, p.t) AS tradeTime, {', '.join(f"coalesce(abs(g.{a}-p.{a})/abs(g.{a}+1e-7), CAST('NaN' AS DOUBLE)) AS {a}" for a in ALPHAS)} FROM win_g g FULL OUTER JOIN win_p p ON g.day = p.day AND g.t = p.t)"""
 
 
+GOLD_DAYS = ["0101", "0102", "0103", "0104"]
+
+
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    gold = fac.factor_means(snapshots(spark, sf_dir)).select("day", to_hhmmss(F.col("sec")).alias("tradeTime"), *ALPHAS)
+    """Golden means, written once, and others made from them."""
+    gold = cut(fac.factor_means(snapshots(spark, sf_dir)).select("day", to_hhmmss(F.col("sec")).alias("tradeTime"), *ALPHAS), "gold")
     pred = gold.where(~((F.col("day") == "0103") & (F.col("tradeTime") == "100000")) & (F.col("day") != "0105"))
     return gold.where("day <> '0105'"), pred.withColumns({"alpha_1": F.col("alpha_1") * 1.005, "alpha_2": F.col("alpha_2") * 1.02})
 
 
 @query("validate_outer_align", f"{_PAIR} SELECT day, tradeTime, {', '.join(f'round({a}, 6) AS {a}' for a in ALPHAS)} FROM errs")
 def validate_outer_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(val.aligned(*_pair(spark, sf_dir)), ALPHAS)
+    return rounded(val.aligned(*_pair(spark, sf_dir), days=GOLD_DAYS), ALPHAS)
 
 
 @query("validate_err_by_day", f"{_PAIR} SELECT day, {', '.join(f'round(avg({a}), 6) AS {a}' for a in ALPHAS)} FROM errs GROUP BY day")
 def validate_err_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(val.errors_by_day(val.aligned(*_pair(spark, sf_dir))), ALPHAS)
+    return rounded(val.errors_by_day(val.aligned(*_pair(spark, sf_dir), days=GOLD_DAYS)), ALPHAS)
 
 
 _VERDICTS = " UNION ALL ".join(f"SELECT '{a}' AS factor, round(avg({a}), 6) AS err, (NOT isnan(avg({a})) AND avg({a}) < 1e-2) AS ok FROM by_day" for a in ALPHAS)
@@ -348,7 +439,7 @@ _VERDICTS = " UNION ALL ".join(f"SELECT '{a}' AS factor, round(avg({a}), 6) AS e
 def validate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the day that lacks a time: alpha_2 is 2 % off and fails, alpha_1 at 0.5 % passes."""
     gold, pred = (x.where("day <> '0103'") for x in _pair(spark, sf_dir))
-    return val.verdict(val.errors_by_day(val.aligned(gold, pred))).select("factor", F.round("err", 6).alias("err"), "ok")
+    return val.verdict(val.errors_by_day(val.aligned(gold, pred, days=GOLD_DAYS))).select("factor", F.round("err", 6).alias("err"), "ok")
 
 
 _DAYS = f"WITH {SNAPSHOTS}, gold AS (SELECT DISTINCT day FROM snapshots), pred AS (SELECT DISTINCT CASE day WHEN '0102' THEN '0109' ELSE day END AS day FROM snapshots)"
@@ -415,3 +506,11 @@ def runtime_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runtime_gmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expectation maximisation; SQL cannot say it."""
     return rounded(stats.mixture(runs(spark, sf_dir)), ("weight", "mean", "variance"))
+
+
+@query("runtime_gmm_density")
+def runtime_gmm_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture's density on an even grid over the run times; SQL cannot say it."""
+    rows = runs(spark, sf_dir)
+    low, high = rows.agg(F.min("elapsed"), F.max("elapsed")).first()
+    return rounded(stats.densities(stats.mixture(rows), low, high), ("x", "density"))

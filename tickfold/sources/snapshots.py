@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickfold.functions.book import BOOK, LEVELS, SNAPSHOT, to_seconds
@@ -40,22 +42,25 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return rows.withColumns({"day": F.substring("trading_day", 5, 4), "sec": to_seconds(time), **{k: F.when(~F.col("bad"), v) for k, v in columns.items()}}).drop("_f", line)
 
 
-def read_snapshots(spark: SparkSession, root: str, days: list[str] | None = None, *, quarantine: bool = False) -> DataFrame:
-    """Canonical snapshots of a tree, with trading_day; root may be the tree's folder or the whole pattern.
+def read_snapshots(spark: SparkSession, root: str, days: list[str] | None = None, *, quarantine: bool = False, seen: Observation | None = None) -> DataFrame:
+    """Canonical snapshots of a tree, with start, trading_day and row_day; root may be the tree's folder or the pattern.
 
-    days reads only those folders. pos is a line's place in its file. The file is read in one split: it must be smaller
-    than spark.sql.files.maxPartitionBytes, as ``check_sizes`` tells. Lines that do not follow the format are left out,
-    or with quarantine are all that is given, with path and bad.
+    days reads only those folders. A file may be read in any number of splits: the place of its split (start) and the
+    place within it (pos) give a line's order. The day is that of the folder, as the result files are named by it; a
+    row's own day is row_day, its year is in trading_day. Lines that do not follow the format are left out, or with
+    quarantine are all that is given, with path and bad. seen counts lines, bad and misplaced ones as they are read.
     """
     if root.rstrip("/").endswith("snapshot.csv"):
         pattern = root
     else:
         pattern = f"{root.rstrip('/')}/{'{' + ','.join(days) + '}' if days else '*'}/*/snapshot.csv"
-    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("pos"))
+    lines = spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("pos"))
     rows = parse_lines(lines).withColumns({"row_day": F.col("day"), "day": path_part(F.col("path"), 3), "stock": path_part(F.col("path"), 2)})
     if quarantine:
-        return rows.where("bad").select("path", "pos", "trading_day", "bad")
-    return rows.where(~F.col("bad")).select(*SNAPSHOT, "trading_day", "row_day")
+        return rows.where("bad").select("path", "start", "pos", "trading_day", "bad")
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("bad"), F.count_if(~F.col("bad") & (F.col("day") != F.col("row_day"))).alias("misplaced"))
+    return rows.where(~F.col("bad")).select(*SNAPSHOT, "start", "trading_day", "row_day")
 
 
 def misplaced(snapshots: DataFrame) -> DataFrame:
@@ -74,13 +79,6 @@ def discover_days(spark: SparkSession, root: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
 
 
-def check_sizes(spark: SparkSession, root: str) -> list[str]:
-    """Files too large to be read in one split, whose line order would be lost."""
-    fs, p = _fs(spark, f"{root.rstrip('/')}/*/*/snapshot.csv")
-    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return [s.getPath().toString() for s in (fs.globStatus(p) or []) if s.getLen() > most]
-
-
 def from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Canonical snapshots made from the lineitem table: five days, about 120 slots of 180 s for each supplier."""
     from pyspark.sql.window import Window
@@ -100,11 +98,12 @@ def from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def newest_run(spark: SparkSession, root: str) -> str | None:
-    """The folder, root itself or one in it, whose newest day file is newest; None without any day file."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").load(root).select("path", "modificationTime")
-    named = found.withColumns({"name": F.element_at(F.split("path", "/"), -1), "dir": F.regexp_replace("path", "/[^/]*$", "")})
-    row = newest(named.where(F.col("name").rlike(DAY_FILE)).withColumnRenamed("modificationTime", "mtime")).first()
-    return row["dir"] if row and row["dir"] else None
+    """The folder, root itself or one right in it, whose newest day file is newest; None without any day file."""
+    fs, p = _fs(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = [s for pattern in (f"{root.rstrip('/')}/*.csv*", f"{root.rstrip('/')}/*/*.csv*") for s in fs.globStatus(path(pattern)) or []]
+    files = [(s.getPath().getParent().toString(), s.getModificationTime()) for s in found if re.match(DAY_FILE, s.getPath().getName())]
+    return newest(spark.createDataFrame(files, "dir string, mtime long")).first()["dir"] if files else None
 
 
 #: Names of day files, whole or in shards of reducers (r) and mappers (m).

@@ -10,25 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickfold.functions.book import ALPHAS, factors, in_session
-from tickfold.operators.factors import with_depth
+from tickfold.operators.factors import ORDER, with_depth
 
 STATE = "sec int, ap1 double, bp1 double, sb double, sa double"
 
 
 def with_previous(rows: DataFrame) -> DataFrame:
     """rows with prev, as the batch operator makes it, by state kept for each day and stock; lag is not for streams.
-    Rows of one file in one batch are put in order of pos; files are to arrive in order."""
+    Rows of one file in one batch are put in the file's order; files are to arrive in order. State is one row."""
     schema, names = rows.schema, rows.columns
+    order, held = [c for c in ORDER if c in names], ["sec", "ap1", "bp1", "sb", "sa"]
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        for x in [pd.concat(list(parts)).sort_values("pos")]:
-            prev = []
-            for r in x.itertuples():
-                prev.append(last if last is not None and last[0] <= r.sec else (None,) * 5)
-                last = (int(r.sec), float(r.ap1), float(r.bp1), float(r.sb), float(r.sa))
-            state.update(last)
-            yield pd.concat([x[names].reset_index(drop=True), pd.DataFrame(prev, columns=["_sec", "_ap1", "_bp1", "_sb", "_sa"])], axis=1)
+        x = pd.concat(list(parts)).sort_values(order, ignore_index=True)
+        prev = x[held].shift(1).astype("float64")
+        if state.exists:
+            prev.loc[0] = list(state.get)
+        prev[~(prev["sec"] <= x["sec"])] = float("nan")
+        state.update((int(x["sec"].iloc[-1]), *x[held[1:]].iloc[-1].astype(float).tolist()))
+        yield pd.concat([x[names], prev.add_prefix("_")], axis=1)
 
     flat = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields) + ", _sec double, _ap1 double, _bp1 double, _sb double, _sa double"
     out = rows.groupBy("day", "stock").applyInPandasWithState(step, flat, STATE, "append", GroupStateTimeout.NoTimeout)
