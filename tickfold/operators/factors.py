@@ -21,8 +21,9 @@ def with_previous(rows: DataFrame) -> DataFrame:
     """Adds prev: sec, ap1, bp1, sb and sa of the line before in the same file, null for the first line and where time
     goes back. The order is the file's, not the clock's; equal times are no reset, and neither is a break."""
     order = Window.partitionBy(*SEQUENCE).orderBy(*[c for c in ORDER if c in rows.columns])
-    before = F.lag(F.struct("sec", "ap1", "bp1", "sb", "sa")).over(order)
-    return rows.withColumn("prev", before).withColumn("prev", F.when(F.col("prev.sec") <= F.col("sec"), F.col("prev")))
+    held = ("sec", "ap1", "bp1", "sb", "sa")
+    rows = rows.withColumns({f"_{c}": F.lag(c).over(order) for c in held})
+    return rows.withColumn("prev", F.when(F.col("_sec") <= F.col("sec"), F.struct(*[F.col(f"_{c}").alias(c) for c in held]))).drop(*[f"_{c}" for c in held])
 
 
 def snapshot_factors(snapshots: DataFrame, keep: tuple[str, ...] = (), alphas: tuple[str, ...] = ALPHAS) -> DataFrame:

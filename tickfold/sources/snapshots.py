@@ -7,13 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tickfold.functions.book import BOOK, LEVELS, SNAPSHOT, to_seconds
+from tickfold.functions.book import BOOK, LEVELS, SNAPSHOT
 
 #: Positions in a line: date, time, total volumes, and four columns for each level from 17 on.
 FIRST_LEVEL, TOTALS = 17, {"tb": 12, "ta": 13}
 LAST = FIRST_LEVEL + 4 * LEVELS - 1
 #: A sound line: date, time, ten fields that are not read, two totals, three more, the levels, and at least a comma.
-FORMAT = rf"^[0-9]{{8}},[0-9]{{6}},(?:[^,]*,){{10}}(?:[0-9]{{0,18}},){{2}}(?:[^,]*,){{3}}(?:[0-9]{{0,18}},){{{4 * LEVELS}}}"
+FORMAT = rf"^[0-9]{{8}},[0-9]{{6}},(?:[^,]*+,){{10}}+(?:[0-9]{{0,18}}+,){{2}}+(?:[^,]*+,){{3}}+(?:[0-9]{{0,18}}+,){{{4 * LEVELS}}}+"
 
 
 def path_part(path: Column, from_end: int) -> Column:
@@ -23,23 +23,23 @@ def path_part(path: Column, from_end: int) -> Column:
 
 def is_data(line: Column) -> Column:
     """A line is data if it starts with a digit; headers, also repeated ones, and blank lines are not."""
-    return line.rlike("^[0-9]")
+    return F.ascii(line).between(ord("0"), ord("9"))
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Adds trading_day, day, sec, tb, ta and the book to data lines, and bad: a line that does not follow the format.
+    """Adds trading_day, day, sec, tb, ta and the book to data lines, and bad: a line that does not follow the format,
+    whose other columns mean nothing.
 
-    Empty numbers are 0. A line is split no further than needed; unused columns are never decoded.
+    Empty numbers are 0. A line is split once and no further than needed; unused columns are never decoded.
     """
-    f = F.split(F.col(line), ",", LAST + 3)
-    at = lambda i: F.get(F.col("_f"), i)
-    number = lambda i: F.coalesce(at(i).try_cast("bigint"), F.lit(0)).cast("double")
+    at = lambda i: F.get(F.col("_f"), F.lit(i))
+    number = lambda i: F.coalesce(at(i).try_cast("double"), F.lit(0.0))
     columns = {k: number(i) for k, i in TOTALS.items()}
     columns |= {f"{side}{level}": number(FIRST_LEVEL + 4 * (level - 1) + k) for level in range(1, LEVELS + 1) for k, side in enumerate(("bp", "bv", "ap", "av"))}
-    rows = lines.where(is_data(F.col(line))).withColumns({"_f": f, "bad": ~F.col(line).rlike(FORMAT)})
-    rows = rows.withColumn("trading_day", at(0))
-    time = F.when(~F.col("bad"), at(1))
-    return rows.withColumns({"day": F.substring("trading_day", 5, 4), "sec": to_seconds(time), **{k: F.when(~F.col("bad"), v) for k, v in columns.items()}}).drop("_f", line)
+    own = [c for c in lines.columns if c not in (line, "bad", "trading_day", "day", "sec", *columns)]
+    rows = lines.where(is_data(F.col(line))).select(*own, F.split(F.col(line), ",", LAST + 3).alias("_f"), (~F.col(line).rlike(FORMAT)).alias("bad"))
+    clock = lambda k: F.substring(at(1), k, 2).try_cast("int")
+    return rows.select(*own, "bad", at(0).alias("trading_day"), F.substring(at(0), 5, 4).alias("day"), (clock(1) * 3600 + clock(3) * 60 + clock(5)).alias("sec"), *[v.alias(k) for k, v in columns.items()])
 
 
 def read_snapshots(spark: SparkSession, root: str, days: list[str] | None = None, *, quarantine: bool = False, seen: Observation | None = None) -> DataFrame:
