@@ -6,7 +6,9 @@ intervals into equal probes, sums exact bytes below each, and each splitter keep
 target. A splitter is settled once a boundary between keys is within tolerance, or the interval is one key. If one key
 (a group of equal texts) straddles the target by more than the tolerance, the same search goes on over the ids inside
 it; so groups stay together as long as the balance allows, and a group with a third of all bytes is split. What comes
-to the driver is a histogram of shards x probes rows, whatever the input. Rows move once, narrow, at the end.
+to the driver is a histogram of shards x probes rows, whatever the input. Rows move once, narrow, at the end: dealt by ranges of the keys
+and sorted, so slots follow the key order at every size, and a group of equal texts is many ranges of ids. A row's slot
+is its place in its range plus the rows of its shard in ranges before, a table of ranges + shards rows.
 
 Defined results: a null text has no bytes and the hash of an empty one, a null id sorts first, repeated rows (id and
 text) are one unit and stay in one shard, an empty table gives an empty table. Other columns can be carried.
@@ -62,16 +64,16 @@ def splitters(rows: DataFrame, key: str, targets: list[int], base: int, toleranc
     return [found[i] for i in range(len(targets))]
 
 
-def shard(docs: DataFrame, shards: int = 24, *, text: str = "text", doc_id: str = "doc_id", tolerance: float = 0.005, cell_rows: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, *, text: str = "text", doc_id: str = "doc_id", tolerance: float = 0.005, cell_rows: int = 50_000, most_cells: int = 10_000) -> DataFrame:
     """doc_id, size, text_crc32, key, shard, slot. tolerance: of a shard's even share, at each splitter.
 
-    cell_rows: rows that one task numbers at a time; the number of such cells follows the input.
+    cell_rows: rows of a range; beyond most_cells ranges they have more rows, which are sorted on disk then.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = cut(
         docs.select(
             F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(t), 1).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)).alias("_id"),
+            F.shiftrightunsigned(F.xxhash64(t), 1).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)).alias("_id"), F.monotonically_increasing_id().alias("_row"),
         ), "sizes",
     )
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -92,10 +94,12 @@ def shard(docs: DataFrame, shards: int = 24, *, text: str = "text", doc_id: str
     place = F.lit(0)
     for k, d in ends:
         place = place + ((F.col("key") > k) | ((F.col("key") == k) & (F.col("_id") >= d))).cast("int") if k <= LAST else place
-    cells = max(1, -(-n // cell_rows))
-    dealt = rows.withColumn("shard", place).withColumn("_cell", F.pmod(F.xxhash64("key", "_id"), F.lit(cells)))
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "_cell").count().select("shard", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("shard", "_cell").orderBy("key", "_id")
-    numbered = dealt.withColumn("_n", F.row_number().over(order) - 1)
-    return numbered.join(starts, ["shard", "_cell"]).select("doc_id", "size", "text_crc32", "key", "shard", (F.col("_start") + F.col("_n")).alias("slot"))
+    cells = min(most_cells, max(1, -(-n // cell_rows)))
+    order = ("key", "_id", "_row")
+    dealt = rows.withColumn("shard", place).repartitionByRange(cells, *order).sortWithinPartitions(*order)
+    # written, so that places stay as they are: 33 bits of place in the range below the range's number
+    at = cut(dealt.withColumn("_at", F.monotonically_increasing_id()).select("doc_id", "size", "text_crc32", "key", "shard", "_at"), "dealt").withColumn("_range", F.shiftright("_at", 33))
+    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    runs = at.groupBy("shard", "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = runs.select("shard", "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    return at.join(F.broadcast(starts), ["shard", "_range"]).select("doc_id", "size", "text_crc32", "key", "shard", (F.col("_start") + F.col("_at")).alias("slot"))
