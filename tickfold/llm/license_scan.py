@@ -1,16 +1,18 @@
 """License notices in texts: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
 
 A text's words are lowered and stripped of punctuation; its shingles are five words, or all words of a template that has
-fewer. For each size of template (by powers of two) the text is cut into windows of 2m shingles, m apart, m being the
-largest template's size of that class, so that every stretch of m shingles lies within one window. Window minima are
-made from minima of m-shingle pieces, so each hash function goes over a text once. A window that agrees with a template
-in all rows of one of ``bands`` bands is a candidate: a window that holds at least ``CONTAINED`` of a template has a
-Jaccard similarity with it of at least CONTAINED / (3 - CONTAINED), and ``bands_for`` takes as many bands as miss it
-with chance under ``MISS``. A candidate counts if the window's shingles hold at least CONTAINED of the template's set.
+fewer. Templates are taken in classes by the power of two m that their size n does not exceed; for each class the text is
+cut into windows of 2m shingles, m apart, so that every stretch of m shingles lies within one window. Window minima are
+made from minima of m-shingle pieces, and those from the smaller class's, so each hash goes over a text once. A window that agrees with a template in all rows of one of the class's
+bands is a candidate. A window that holds at least ``CONTAINED`` of a template of n shingles has a Jaccard similarity
+with it of at least ``least_similarity(n, m)``; ``bands_for`` takes as many bands as miss the least similarity of the
+class with chance under ``MISS``. A candidate is verified on its window widened by m to both sides, as words put into a
+notice stretch it: it counts if the shingles there hold at least CONTAINED of the template's set.
 
 One pass without a shuffle; a task holds one batch of texts, and the templates, which are a parameter of bounded size.
 Defined results: null and empty texts have no notice; a null id is kept; equal rows give equal rows; of a template found
-in several windows of a text the one with the most of it, then the first, is given; an empty table gives an empty table.
+in several windows of a text the one with the most of it, then the first, is given; first_word and n_words are of the
+stretch from the first to the last of its shingles there; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -63,6 +65,11 @@ def bands_for(similarity: float, rows: int = ROWS, miss: float = MISS) -> int:
     return int(np.ceil(np.log(miss) / np.log1p(-(similarity**rows))))
 
 
+def least_similarity(n: int, m: int) -> float:
+    """Of a window of 2m shingles that holds CONTAINED of a template of n."""
+    return CONTAINED * n / (2 * m + n - CONTAINED * n)
+
+
 class Library:
     """Templates by class (shingle length, m) with their sets and the values of their bands.
 
@@ -70,22 +77,24 @@ class Library:
     """
 
     def __init__(self, templates: dict[str, str]) -> None:
-        rng = np.random.default_rng(11)
-        self.classes: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
+        rng, sets = np.random.default_rng(11), []
         for name, text in templates.items():
             words = word_hashes(text)
             if len(words):
                 size = min(SHINGLE, len(words))
-                own = np.unique(shingle_hashes(words, size))
-                self.classes.setdefault((size, 1 << (len(own) - 1).bit_length()), []).append((name, own))
-        self.classes = dict(sorted(self.classes.items()))
-        self.a = rng.integers(0, 2**31, bands_for(CONTAINED / (3 - CONTAINED)) * ROWS, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
+                sets.append((size, len(own := np.unique(shingle_hashes(words, size))), name, own))
+        self.classes: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
+        for size, n, name, own in sorted(sets, key=lambda x: x[:3]):
+            self.classes.setdefault((size, 1 << (n - 1).bit_length()), []).append((name, own))
+        self.bands = {(size, m): 1 if m == 1 else bands_for(min(least_similarity(len(s), m) for _, s in own)) for (size, m), own in self.classes.items()}
+        most = max(self.bands.values(), default=1) * ROWS
+        self.a = rng.integers(0, 2**31, most, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
         self.values = {}
-        for (size, m), own in self.classes.items():
-            values = np.array([self.minima(s, 1 if m == 1 else len(self.a)).min(1) for _, s in own])
+        for k, own in self.classes.items():
+            values = np.array([self.minima(s, self.bands[k]).min(1) for _, s in own])
             quick = np.zeros((values.shape[1], 65536), bool)  # by band and the value's last bits
             quick[np.arange(values.shape[1])[None, :], values & np.uint32(65535)] = True
-            self.values[size, m] = (values, quick.reshape(-1), (np.arange(values.shape[1], dtype=np.uint32) << np.uint32(16))[:, None])
+            self.values[k] = (values, quick.reshape(-1), (np.arange(values.shape[1], dtype=np.uint32) << np.uint32(16))[:, None])
 
     def minima(self, shingles: np.ndarray, functions: int) -> np.ndarray:
         """functions x shingles"""
@@ -93,7 +102,7 @@ class Library:
         return x ^ (x >> np.uint32(15))
 
     def find(self, text: str) -> dict[str, tuple[float, int, int]]:
-        """name -> (containment, first word of the window, words of the window)"""
+        """name -> (containment, first word, words)"""
         out: dict[str, tuple[float, int, int]] = {}
         words, before, last = word_hashes(text), (0, 0, None), 0  # before: shingle length, m and minima of the last pieces
         for (size, m), own in self.classes.items():
@@ -101,7 +110,7 @@ class Library:
                 s, last = shingle_hashes(words, size), size
             if not len(s):
                 continue
-            values, quick, bands = self.values[size, m]
+            (values, quick, bands), functions = self.values[size, m], self.bands[size, m]
             if m == 1:
                 windows = self.minima(s, 1)
             else:
@@ -110,18 +119,29 @@ class Library:
                 else:  # a run of whole pieces at a time
                     run = m * max(1, 4096 // m)
                     pieces = np.concatenate([np.minimum.reduceat(h := self.minima(s[i : i + run], len(self.a)), np.arange(0, h.shape[1], m), axis=1) for i in range(0, len(s), run)], 1)
-                before = (size, m, pieces)
+                before, pieces = (size, m, pieces), pieces[:functions]
                 windows = np.minimum(pieces, np.concatenate((pieces[:, 1:], pieces[:, -1:]), 1))
             for w in np.flatnonzero(quick[windows & np.uint32(65535) | bands].any(0)).tolist():  # a band is one row
-                part = s[w * m : (w + 2) * m] if m > 1 else s[w : w + 1]
+                low, high = (max(0, (w - 1) * m), (w + 3) * m) if m > 1 else (w, w + 1)
+                part = s[low:high]
                 for t in np.flatnonzero((values == windows[:, w][None, :]).any(1)).tolist():
                     name, full = own[t]
                     share = float(np.isin(full, part).sum()) / len(full)
                     if share >= CONTAINED and share > out.get(name, (0.0,))[0]:
-                        out[name] = (share, w * m, len(part) + size - 1)
+                        at = np.flatnonzero(np.isin(part, full))
+                        out[name] = (share, low + int(at[0]), int(at[-1] - at[0]) + size)
         return out
 
 
+def templates_of(table: DataFrame, name: str = "name", text: str = "text", most_bytes: int = 64 << 20) -> dict[str, str]:
+    """Templates of a table, as full licence texts are kept; it is an error if they have more than most_bytes."""
+    rows = table.where(F.col(name).isNotNull() & F.col(text).isNotNull())
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of templates, more than {most_bytes}")
+    return {r[0]: r[1] for r in rows.select(name, text).orderBy(name, text).collect()}
+
+
 _libraries: dict[int, Library] = {}
 
 
