@@ -2,61 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickfold.sources.scratch import cut, drop, new_path, shared_dir
+
+__all__ = ["SPACE", "components", "cut", "drop", "new_path", "shared_dir", "table"]
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
-_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="tickfold-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used; it is removed when this Python ends."""
-    path = f"{shared_dir(spark)}/tickfold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    atexit.register(drop, spark, path)
-    return path
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Removes a path of new_path() early; one that is gone is no error."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    if jvm is None or sc is None:  # the session has ended
-        return
-    try:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
-    except Exception as e:  # at exit the JVM may be gone before Python
-        if "Connection" not in repr(e) and "Py4J" not in type(e).__name__:
-            raise
-
-
-def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so that no later failure repeats what stands above."""
-    path = path or new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links of longs -> (node, component): the smallest node that can be reached.
 
@@ -65,7 +24,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     skewed side of a plain equi-join, which adaptive execution splits, and minima are combined before they move.
     """
     spark = edges.sparkSession
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-links")
+    links_path = new_path(spark, f"{name}-links")
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), name, links_path)
     now_path = new_path(spark, f"{name}-labels")
     now = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), name, now_path)
     while True:
@@ -80,4 +40,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             drop(spark, now_path)
         now, now_path = then, next_path
         if not changed:
+            drop(spark, links_path)
             return now
