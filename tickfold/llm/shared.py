@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickfold.sources.scratch import cut, drop, new_path, shared_dir
 
-__all__ = ["SPACE", "components", "cut", "drop", "new_path", "shared_dir", "table"]
+__all__ = ["SPACE", "bit_filter", "components", "cut", "drop", "new_path", "shared_dir", "slices", "table"]
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -16,6 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, as Python objects of a whole batch of long texts would be many."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def bit_filter(df: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """df without most rows whose key (a long, a hash) is not in wanted; none that is in it is lost.
+
+    A bit for each key, 16 bits for each wanted row but at most most_bits (16 MB), goes to all tasks as bitmaps of 4 KB.
+    Beyond that bound more rows pass, no wanted one is lost."""
+    bits = 1 << 15
+    while bits < min(most_bits, 16 * wanted.count()):
+        bits *= 2
+    place = F.pmod(F.col(key), F.lit(bits)).cast("int")
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(32767)
+    maps = wanted.select(bucket.alias("_bucket"), bit.cast("long").alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    byte = F.conv(F.hex(F.substring(F.col("_map"), F.shiftright(F.col("_bit"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    at = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(maps), "_bucket")
+    return at.where(F.call_function("shiftright", byte, F.col("_bit").bitwiseAND(7)).bitwiseAND(1) == 1).select(*df.columns)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) links of longs -> (node, component): the smallest node that can be reached.
 
