@@ -122,6 +122,82 @@ def test_template_is_learned_from_pages_without_article(spark):
     assert all(r.text == " ".join(words(20, r.page_id)) + "\n" + " ".join(words(12, -r.page_id - 1)) for r in got)
 
 
+def texts_of(spark, rows, **more):
+    return {r.page_id: r.text for r in wrapper_induction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **more).collect()}
+
+
+def own_words(i):
+    return f"<p>{' '.join(words(20, i))}</p><p>{' '.join(words(12, -i - 1))}</p>"
+
+
+def test_slots_that_first_pages_lack_and_other_wordings(spark):
+    rows = [page(i, ("" if i == 0 else "<div>Opening hours as usual</div>") + own_words(i) + f"<div>{'We moved' if i < 2 else 'Thanks for reading us'}</div>", article=False) for i in range(20)]
+    got = texts_of(spark, rows)
+    for i in range(2, 20):
+        assert got[i] == "\n".join(" ".join(words(n, k)) for n, k in ((20, i), (12, -i - 1)))
+    assert "hours" not in got[1] and "hours" not in got[0]
+    off = texts_of(spark, rows, induction=False)
+    assert all("Thanks for reading us" in off[i] and "Thanks" not in got[i] for i in range(2, 20))
+
+
+def test_class_words_only_break_ties(spark):
+    said = "<p>First</p><div class='notice'><p>Second, long enough to be read</p></div><section class='discussion'><p>Third</p></section><div class='story related-work'>Fourth</div>"
+    rows = [(1, "http://a/1", f"<article class='post no-sidebar comments-open'>{said}<div class='ad-box'>Buy</div><ul class='comment-list'><li>nice</li></ul></article>")]
+    rows += [(i, f"http://b/{i}", f"<div class='content with-sidebar'>{own_words(i)}</div><div class='sidebar'>{' '.join(words(3, i))}</div>") for i in range(2, 5)]
+    rows += [(5, "http://c/5", f"<form id=aspnetForm><div class='main-wrapper'><article>{own_words(5)}</article></div></form>"), (6, "http://c/6", f"<div class='comments'>{'all of the page ' * 9}</div>")]
+    got = texts_of(spark, rows)
+    assert got[1] == "First\nSecond, long enough to be read\nThird\nFourth"
+    assert got[3] == "\n".join(" ".join(words(n, k)) for n, k in ((20, 3), (12, -4))) and got[5].count("\n") == 1 and got[6].startswith("all of the page")
+
+
+def test_constant_parts_of_articles_and_copies_of_articles(spark):
+    """A box in all articles goes, an article that is all over its host stays."""
+    rows = [page(i, own_words(i) + "<p>Read more on our site</p>") for i in range(20)]
+    rows += [(100 + i, f"http://copies/{i}", page(i, "<h1>One</h1>" + own_words(7), nav=f"n{i}")[2]) for i in range(30)]
+    got = texts_of(spark, rows)
+    assert not any("Read more" in got[i] for i in range(20)) and {got[100 + i] for i in range(30)} == {"One\n" + "\n".join(" ".join(words(n, k)) for n, k in ((20, 7), (12, -8)))}
+
+
+def test_scripts_references_and_depth(spark):
+    rows = [(1, "u", "<p>a</p><script src=a/>var x=1;</script><p>b</p>"), (2, "u2", "<p>&am<b>p;lt;</b> &lt;</p>"), (3, "u3", "<div>" * 500 + "<p>deep</p><nav>menu</nav>" + "<nav>" * 2000 + "x" + "</nav>" * 2000 + "<p>end</p>" + "</div>" * 500), (4, "u4", "<svg/><p>c</p><p>d<svg><text>no</text></svg></p>"), (5, "u5", "<p>one<div>two</div>three"), (6, "u6", "<span><p>in</p></span>")]
+    got = texts_of(spark, rows)
+    assert got == {1: "a\nb", 2: "&amp;lt; <", 3: "deep\nend", 4: "c\nd", 5: "one\ntwo\nthree", 6: "in"}
+
+
+def test_pages_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(wrapper_induction, "GROUP", 50)
+    rows = [(i if i % 9 else None, f"http://host{i % 100 // 70}/{i}", page(i, "<div>Opening hours</div>" * (i % 3 > 0) + own_words(i // 2), article=i % 5 == 0)[2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, *others = (sorted(map(str, wrapper_induction.main_text(df.repartition(n)).collect())) for n in (1, 4, 64))
+    assert all(x == one for x in others) and len(one) == 400
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    assert sorted(map(str, wrapper_induction.main_text(df).collect())) == one
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_matching_equals_a_plain_tree_matcher():
+    def plain(a, b):
+        if a.key != b.key:
+            return 0
+        x, y = a.blocks, b.blocks
+        m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x)):
+            for j in range(len(y)):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + plain(x[i], y[j]))
+        return 1 + m[-1][-1]
+
+    def made(dice, depth):
+        return "".join(f"<{t}>{made(dice, depth - 1)}</{t}>" for t in dice.choices(["div", "section", "ul"], k=dice.randint(0, 4) if depth else 0))
+
+    for seed in range(150):
+        dice = random.Random(seed)
+        a, b = (wrapper_induction.parse(made(dice, 3)) for _ in range(2))
+        pairs = []
+        size = wrapper_induction.match(wrapper_induction.Slot(a), b, pairs)
+        assert size == plain(a, b) == len(pairs) == len({id(n) for _, n in pairs})
+
+
 def test_tree_matching_keeps_order():
     slot = wrapper_induction.Slot(wrapper_induction.parse("<div><p>a</p><h2>b</h2><p>c</p></div>"))
     assert wrapper_induction.match(slot, wrapper_induction.parse("<div><h2>b</h2><p>c</p></div>"), []) == 4
