@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each written and read again as the next one's input."""
+"""From raw documents to packed training sequences: five stages, each written and read again as the next one's input.
+
+Every stage works on all rows of its predecessor. Defined results, for all stages: rows are documents, also where an id
+is null or comes again with another text; a null text counts as empty; texts of any length are used whole; an empty
+table gives an empty table; columns beside those of documents are dropped at the first stage, also where their names
+clash with the operators' own. What a stage does with ties and repeated rows stands with it.
+"""
 
 from __future__ import annotations
 
@@ -7,43 +13,51 @@ from pyspark.sql import functions as F
 
 from tickfold.llm import hyperdimensional, packing
 from tickfold.llm.decontamination import contaminated
-from tickfold.llm.lsh_forest import near_duplicates
+from tickfold.llm.lsh_forest import one_of_each
 from tickfold.llm.quality_rules import quality_rules
 from tickfold.llm.queries import tokenizer_path
 from tickfold.llm.shared import cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: The least cosine with a learned language's prototype. Whole sentences have 0.4 and more; below are texts with few
+#: letters or none of the languages learned. The README gives the share of documents it drops.
+LEAST_LIKENESS = 0.15
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the risk-controlled rules."""
+    """Documents that pass the risk-controlled rules; null, empty and short texts don't. Equal rows fare alike; a null
+    language is a stratum of its own. Labels are joined by id, so rows with one id count with the same label."""
     return quality_rules(docs, table(spark, sf_dir, "labels"), carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told: with letters, and with some likeness to a learned language.
 
-    Learned from the labelled documents that stage kept, without the held-out fifth."""
+    Learned from the labelled documents that stage kept, without the held-out fifth. Ties go to the first language in
+    order of name; equal rows fare alike; where no document has a language, none can be told and none is kept."""
     docs = docs.select(*COLUMNS)
-    return hyperdimensional.identify(docs, docs, carry=COLUMNS).where("lang_pred <> 'und' and score >= 0.15").select(*COLUMNS)
+    told = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LIKENESS)
+    return hyperdimensional.identify(docs, docs, carry=COLUMNS).where(told).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
-    docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document, that of the smallest id, of each group of near copies (five-word shingles, similarity of 0.8 or more).
+
+    Of equal rows (id and text) one is kept. Unlike texts under one id, or under none, are documents of their own; ties
+    within a group go by a hash of the row; texts without words are linked with nothing."""
+    return one_of_each(docs.select(*COLUMNS))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    docs = docs.select(*COLUMNS)
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_found")), "left_anti").select(*COLUMNS)
+    """Documents without a passage of the benchmark. Rows are told by a hash of id and text, so a clean text stays where
+    another one under its id, or under none, goes; equal rows fare alike."""
+    keyed = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), doc_id="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return keyed.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, with their sequence and offset."""
+    """Token pieces of all documents, with their sequence and offset; equal rows are packed each."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
