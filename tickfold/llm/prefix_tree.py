@@ -17,14 +17,17 @@ are not used. One conversation is one row, as its format is; conversations are n
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickfold.llm.shared import slices
+
 MARKS = re.compile(r"([\\<>])")
 MARKED = re.compile(r"\\(.)", re.S)
 TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>((?:[^\\<>]|\\.)*)</turn>\n", re.S)
@@ -53,6 +56,55 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+@lru_cache
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens of a byte-level tokenizer in a row, and where each token's start (and the last one's end)."""
+    tok = tokenizer(path)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such vocabularies
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    tokens = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size())]
+    own = [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in tokens]
+    return np.frombuffer(b"".join(own), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in own])))
+
+
+def spelt(ids: np.ndarray, path: str) -> tuple[bytes, np.ndarray]:
+    """The bytes of tokens in a row, and where each token's start (and the last one's end)."""
+    table, starts = byte_table(path)
+    lengths = starts[ids + 1] - starts[ids]
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    return table[np.repeat(starts[ids] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes(), ends
+
+
+class Tree:
+    """A tree as it is written: its tokens, and flat columns of its nodes."""
+
+    def __init__(self) -> None:
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+        self.nodes: list[tuple[int, int, int, int, int]] = []
+        self.attends: list[tuple[tuple[int, int], ...]] = []
+        self.leaves: list[tuple[int | None, int]] = []
+
+
+def packed(trees: list[Tree]) -> pa.RecordBatch:
+    def lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values)
+
+    def column(rows: list[tuple], k: int, kind: pa.DataType) -> pa.Array:
+        return pa.array([r[k] for r in rows], kind)
+
+    nodes = [n for t in trees for n in t.nodes]
+    attends = [a for t in trees for a in t.attends]
+    spans = [x for a in attends for x in a]
+    span = pa.StructArray.from_arrays([column(spans, k, pa.int32()) for k in (0, 1)], ["start", "end"])
+    node = pa.StructArray.from_arrays([*(column(nodes, k, pa.int32()) for k in range(5)), lists([len(a) for a in attends], span)], ["start", "end", "position", "loss_start", "loss_end", "attends"])
+    leaves = [x for t in trees for x in t.leaves]
+    leaf = pa.StructArray.from_arrays([column(leaves, 0, pa.int64()), column(leaves, 1, pa.int32())], ["conv_id", "node"])
+    ids = np.concatenate([x for t in trees for x in t.ids] or [np.empty(0, np.int32)])
+    columns = [lists([t.size for t in trees], pa.array(ids, pa.int32())), lists([len(t.nodes) for t in trees], node), lists([len(t.leaves) for t in trees], leaf)]
+    return pa.RecordBatch.from_arrays(columns, names=["ids", "nodes", "leaves"])
+
+
 def trees(turns: DataFrame, path: str, *, most: int = 32_768) -> DataFrame:
     """TREE rows of all conversations; path is of a byte-level tokenizer, whose ids can be decoded exactly."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -61,50 +113,54 @@ def trees(turns: DataFrame, path: str, *, most: int = 32_768) -> DataFrame:
     ordered = keyed.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
-        encode = lambda parts: [e.ids for e in tok.encode_batch(parts, add_special_tokens=False)]
-        types = pa.schema([("ids", pa.list_(pa.int32())), ("nodes", pa.list_(pa.struct([(k, pa.int32()) for k in ("start", "end", "position", "loss_start", "loss_end")] + [("attends", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))), ("leaves", pa.list_(pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])))])
-        stack, ids, nodes, leaves, done = [], [], [], [], []  # stack: (role, text, node) of the open path
+        tok, marks = tokenizer(path), {}
+        encode = lambda parts: [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+        tail = encode(["</turn>\n"])[0]
+        now, done = Tree(), []
+        stack: list[tuple] = []  # of the open path: role, text, node, end of the node, its position's end, what its child attends to
 
         def flush() -> None:
-            nonlocal ids, nodes, leaves
-            if leaves:
-                done.append({"ids": ids, "nodes": nodes, "leaves": leaves})
+            nonlocal now
+            if now.leaves:
+                done.append(now)
             stack.clear()
-            ids, nodes, leaves = [], [], []
-
-        for batch in batches:
-            for conv_id, roles, texts in zip(*(c.to_pylist() for c in batch.columns)):
+            now = Tree()
+
+        for batch in slices(batches):
+            conversations = list(zip(*(c.to_pylist() for c in batch.columns)))
+            fresh = list({t for _, _, texts in conversations for t in texts})
+            bodies = dict(zip(fresh, encode([escape(t) for t in fresh])))  # a text once, however many say it
+            for role in {r for _, roles, _ in conversations for r in roles} - marks.keys():
+                if len(marks) >= 10_000:
+                    marks.clear()
+                marks[role] = encode([f"<turn {escape(role)}>"])[0]
+            for conv_id, roles, texts in conversations:
                 same = 0
-                while same < min(len(stack), len(roles)) and stack[same][:2] == (roles[same], texts[same]):
+                while same < min(len(stack), len(roles)) and stack[same][0] == roles[same] and stack[same][1] == texts[same]:
                     same += 1
-                if not same or len(ids) >= most:
+                if not same or now.size >= most:
                     flush()
                     same = 0
                 del stack[same:]
-                fresh = encode([p for r, t in zip(roles[same:], texts[same:]) for p in (f"<turn {escape(r)}>", escape(t), "</turn>\n")])
-                for k, (r, t) in enumerate(zip(roles[same:], texts[same:])):
-                    head, body, tail = fresh[3 * k : 3 * k + 3]
-                    above = [nodes[n] for _, _, n in stack]
-                    attends: list[dict] = []
-                    for a in above:
-                        if attends and attends[-1]["end"] == a["start"]:
-                            attends[-1]["end"] = a["end"]
-                        else:
-                            attends.append({"start": a["start"], "end": a["end"]})
-                    start = len(ids)
-                    ids += head + body + tail
+                for r, t in zip(roles[same:], texts[same:]):
+                    head = marks[r] if r in marks else encode([f"<turn {escape(r)}>"])[0]
+                    body, start = bodies[t], now.size
+                    position, attends = stack[-1][3:] if stack else (0, ())
                     first = start + len(head)
-                    loss = (first, first + len(body)) if r == "assistant" else (first, first)
-                    nodes.append({"start": start, "end": len(ids), "position": above[-1]["position"] + above[-1]["end"] - above[-1]["start"] if above else 0, "loss_start": loss[0], "loss_end": loss[1], "attends": attends})
-                    stack.append((r, t, len(nodes) - 1))
-                leaves.append({"conv_id": conv_id, "node": stack[-1][2]})
+                    end = first + len(body) + len(tail)
+                    now.ids += (head, body, tail)
+                    now.size = end
+                    now.nodes.append((start, end, position, first, first + len(body) if r == "assistant" else first))
+                    now.attends.append(attends)
+                    below = (*attends[:-1], (attends[-1][0], end)) if attends and attends[-1][1] == start else (*attends, (start, end))
+                    stack.append((r, t, len(now.nodes) - 1, position + end - start, below))
+                now.leaves.append((conv_id, stack[-1][2]))
             if done:
-                yield pa.RecordBatch.from_pylist(done, types)
+                yield packed(done)
                 done.clear()
         flush()
         if done:
-            yield pa.RecordBatch.from_pylist(done, types)
+            yield packed(done)
 
     return ordered.mapInArrow(run, TREE)
 
@@ -115,32 +171,34 @@ def positions(trees: DataFrame) -> DataFrame:
 
 
 def read_back(trees: DataFrame, path: str) -> DataFrame:
-    """conv_id, formatted, roles, texts and loss (the unescaped text under the mask) of each conversation, from tokens alone."""
+    """conv_id, formatted, roles, texts and loss (the unescaped text under the mask) of each conversation, from tokens alone.
+
+    A node that many conversations share is spelt and taken apart once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
         types = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("loss", pa.string())])
-        for batch in batches:
-            for ids, nodes, leaves in zip(*(c.to_pylist() for c in batch.columns)):
-                spans = [x for n in nodes for x in ((n["start"], n["end"]), (n["loss_start"], n["loss_end"]))]
-                plain = tok.decode_batch([ids[a:b] for a, b in spans], skip_special_tokens=False)
-                at = {n["start"]: i for i, n in enumerate(nodes)}
-                out = []
-                for leaf in leaves:
-                    last = nodes[leaf["node"]]
-                    steps = []
-                    for a in [*last["attends"], {"start": last["start"], "end": last["end"]}]:
-                        s = a["start"]
-                        while s < a["end"]:
-                            steps.append(at[s])
-                            s = nodes[at[s]]["end"]
-                    formatted = "".join(plain[2 * i] for i in steps)
-                    turns = TURN.findall(formatted)
-                    out.append({"conv_id": leaf["conv_id"], "formatted": formatted, "roles": [unescape(r) for r, _ in turns], "texts": [unescape(t) for _, t in turns], "loss": "".join(unescape(plain[2 * i + 1]) for i in steps)})
-                yield pa.RecordBatch.from_pylist(out, types)
+        for batch in slices(batches, 64):
+            for row in range(batch.num_rows):
+                raw, ends = spelt(batch.column(0)[row].values.to_numpy(), path)
+                nodes = batch.column(1)[row].values
+                start, end, low, high = (nodes.field(k).to_numpy() for k in ("start", "end", "loss_start", "loss_end"))
+                attends = nodes.field("attends").to_pylist()
+                at, parts = {}, []
+                for i, (a, b, x, y) in enumerate(zip(ends[start].tolist(), ends[end].tolist(), ends[low].tolist(), ends[high].tolist())):
+                    formatted = raw[a:b].decode()
+                    ((role, text),) = TURN.findall(formatted)
+                    at[int(start[i])] = i
+                    parts.append((formatted, unescape(role), unescape(text), unescape(raw[x:y].decode())))
+                out: list[tuple] = []
+                for leaf in batch.column(2)[row].as_py():
+                    last, steps = leaf["node"], []
+                    for span in attends[last]:
+                        s = span["start"]
+                        while s < span["end"]:
+                            steps.append(parts[at[s]])
+                            s = int(end[at[s]])
+                    steps.append(parts[last])
+                    out.append((leaf["conv_id"], "".join(p[0] for p in steps), [p[1] for p in steps], [p[2] for p in steps], "".join(p[3] for p in steps)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], schema=types)
 
     return trees.select("ids", "nodes", "leaves").mapInArrow(run, "conv_id long, formatted string, roles array<string>, texts array<string>, loss string")
-
-
-def digest(parts: list[str]) -> str:
-    return hashlib.sha256("".join(parts).encode()).hexdigest()
