@@ -30,7 +30,12 @@ from tickfold.llm.shared import slices
 
 MARKS = re.compile(r"([\\<>])")
 MARKED = re.compile(r"\\(.)", re.S)
-TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>((?:[^\\<>]|\\.)*)</turn>\n", re.S)
+TURN = re.compile(r"<turn ((?:[^\\<>]++|\\.)*+)>((?:[^\\<>]++|\\.)*+)</turn>\n", re.S)
+#: How byte-level tokenizers cut texts before they merge (a published pattern, for the characters of AGREED): letters and
+#: numbers up to U+024F are spelt out.
+_L, _N = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PRE = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_L}]++| ?[{_N}]++| ?[^\s{_L}{_N}]++|\s+(?!\S)|\s+")
+AGREED = re.compile(r"[\t\n\r -~\u00a0-\u024f]*+")
 NODE = "struct<start:int,end:int,position:int,loss_start:int,loss_end:int,attends:array<struct<start:int,end:int>>>"
 TREE = f"ids array<int>, nodes array<{NODE}>, leaves array<struct<conv_id:bigint,node:int>>"
 _tokenizers: dict[str, object] = {}
@@ -56,6 +61,34 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+class Encoder:
+    """Ids of texts by a byte-level tokenizer, which cuts texts into parts before it merges; parts come again, so their ids
+    are remembered, ``most`` of them at a time. Where that isn't how the tokenizer cuts, whole texts go through it."""
+
+    def __init__(self, path: str, most: int = 200_000) -> None:
+        self.tokenizer, self.most, self.known = tokenizer(path), most, {}
+        sample = ["It's  a \n\n test,\tisn't it?? 12 apples' caf\u00e9 \u00a0 x\u00d7y  ", " <turn user> a</turn>\n", "<|endoftext|> we'LL've 3rd\r\n  "]
+        self.cuts = True
+        self.cuts = [x.tobytes() for x in self(sample)] == [x.tobytes() for x in self.whole(sample)]
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [PRE.findall(t) if self.cuts and AGREED.fullmatch(t) else None for t in texts]
+        new = set().union(*(p for p in parts if p is not None)).difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, set().union(*(p for p in parts if p is not None))
+        new = list(new)
+        self.known.update(zip(new, (x.tobytes() for x in self.whole(new))))
+        get = self.known.__getitem__
+        rest = iter(self.whole([t for t, p in zip(texts, parts) if p is None]))
+        return [next(rest) if p is None else np.frombuffer(b"".join(map(get, p)), np.int32) for p in parts]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
 @lru_cache
 def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all tokens of a byte-level tokenizer in a row, and where each token's start (and the last one's end)."""
@@ -113,8 +146,9 @@ def trees(turns: DataFrame, path: str, *, most: int = 32_768) -> DataFrame:
     ordered = keyed.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, marks = tokenizer(path), {}
-        encode = lambda parts: [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        encode, marks = _encoders[path], {}
         tail = encode(["</turn>\n"])[0]
         now, done = Tree(), []
         stack: list[tuple] = []  # of the open path: role, text, node, end of the node, its position's end, what its child attends to
