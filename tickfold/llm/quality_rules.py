@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
 ``measures`` counts what the rules need of each text. ``calibrate`` chooses, for every stratum (language) and rule, a
-cutoff from a fixed grid. Labelled good documents are dealt into two folds by a checksum of their id: the first
-proposes cutoffs, the second (the holdout) tests them. A cutoff counts as safe if an exact binomial test rejects
-"at least alpha / rules of the good documents of this stratum lie beyond it" at level delta / (strata x rules)
-(Bonferroni). Within one rule and stratum the cutoffs are tested from the most lenient to the strictest and testing
-stops at the first that fails (fixed sequence), which needs no further correction. So with confidence 1 - delta no
-stratum loses more than alpha of its good documents to the rules together. Among the safe cutoffs the first fold picks
-the one that rejects most bad documents for each good one. A stratum with too few labels gets no cutoff for that rule.
+cutoff from a fixed grid, on the labelled documents that pass the base rules (the holdout; nothing else is learned from
+labels). A cutoff counts as safe if an exact binomial test rejects "at least alpha / rules of the good documents of this
+stratum lie beyond it" at level delta / (strata x rules) (Bonferroni). Within one rule and stratum the cutoffs are tested
+from the most lenient to the strictest and testing stops at the first that fails (fixed sequence): so all safe ones hold
+at once, and any of them may be chosen, by the same labels too; it is the one that rejects most bad documents for each
+good one. So with confidence 1 - delta no stratum loses more than alpha of its good documents that pass the base rules
+to the cutoffs together. A stratum with too few good labels to pass any test gets no cutoffs; such strata are left out
+before anything comes to the driver, so a dirty language column costs nothing.
 
 Defined results: a null text counts as empty; a null language is a stratum of its own ('und'); labels that are null,
 contradictory or repeated count row by row, rows with a null quality not at all; an empty table gives an empty table;
@@ -27,7 +28,7 @@ from tickfold.llm.shared import SPACE, cut
 WINDOW = 8
 RULES = ("symbols", "bangs", "dup_lines", "repeats", "stutter")
 GRID = (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02, 0.01)
-INNER = ("_w", "_l", "_h", "_g", "_s", "_p")
+INNER = ("_w", "_l", "_h", "_g", "_s", "_p", "_symbols", "_bangs", "_dup_lines", "_repeats", "_stutter")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bangs", "n_stutter", "n_lines")
 
 
@@ -94,31 +95,32 @@ def stratum(lang: str) -> Column:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, lang: str = "lang", key: str = "doc_id", alpha: float = 0.05, delta: float = 0.05) -> dict[str, dict[str, float]]:
-    """Stratum -> rule -> safe cutoff. What comes to the driver is a histogram: strata x rules x cutoffs x folds."""
-    marks = labels.where("quality is not null").select(F.col(key).alias("_id"), F.col("quality").alias("_good"))
+    """Stratum -> rule -> safe cutoff. What comes to the driver is a histogram: rules x cutoffs x 2 rows for each stratum
+    with enough good labels, so of strata at most as many as labels divided by that number."""
+    marks = labels.where("quality is not null").select(F.col(key).alias("_id"), (F.col("quality") == 1).alias("_good"))
     rows = measured.where(~F.col("base_failed")).select(F.col(key).alias("_id"), stratum(lang).alias("_s"), *RULES).join(marks, "_id")
     bins = F.array(*[F.struct(F.lit(r).alias("rule"), sum((F.col(r) <= c).cast("int") for c in GRID).alias("bin")) for r in RULES])
-    hist = (
-        rows.select("_s", "_good", (F.crc32(F.col("_id").cast("string").cast("binary")) % 2).alias("fold"), F.explode(bins).alias("b"))
-        .groupBy("_s", "fold", (F.col("_good") == 1).alias("good"), "b.rule", "b.bin").count().collect()
-    )
+    counts = cut(rows.select("_s", "_good", F.explode(bins).alias("b")).groupBy("_s", "_good", "b.rule", "b.bin").count(), "histogram")
+    most = alpha / len(RULES)
+    needed = math.ceil(math.log(delta / len(RULES)) / math.log1p(-most))  # with fewer not even a cutoff that rejects none is safe
+    enough = counts.where(F.col("_good") & (F.col("rule") == RULES[0])).groupBy("_s").agg(F.sum("count").alias("n")).where(F.col("n") >= needed).select("_s")
+    hist = counts.join(enough, "_s").collect()
     strata = sorted({r["_s"] for r in hist})
-    level, most = delta / max(1, len(strata) * len(RULES)), alpha / len(RULES)
+    level = delta / max(1, len(strata) * len(RULES))
+    at: dict[tuple[str, str, bool], list[int]] = {}
+    for r in hist:
+        at.setdefault((r["_s"], r["rule"], r["_good"]), [0] * (len(GRID) + 1))[r["bin"]] += r["count"]
     chosen: dict[str, dict[str, float]] = {}
     for s in strata:
         chosen[s] = {}
         for rule in RULES:
-            at = {(fold, good): [0] * (len(GRID) + 1) for fold in (0, 1) for good in (False, True)}
-            for r in hist:
-                if r["_s"] == s and r["rule"] == rule:
-                    at[r["fold"], r["good"]][r["bin"]] += r["count"]
-            beyond = lambda fold, good, i: sum(at[fold, good][: i + 1])  # noqa: E731  bin: grid values the rate is not above
+            goods, bads = (at.get((s, rule, good), [0] * (len(GRID) + 1)) for good in (True, False))
             best, cutoff = 0.0, None
             for i, c in enumerate(GRID):
-                if binomial_tail(beyond(1, True, i), sum(at[1, True]), most) > level:
+                lost, caught = sum(goods[: i + 1]), sum(bads[: i + 1])  # bin: grid values the rate is not above
+                if binomial_tail(lost, sum(goods), most) > level:
                     break
-                goods, bads = max(1, sum(at[0, True])), max(1, sum(at[0, False]))
-                gain = beyond(0, False, i) / bads - 10 * beyond(0, True, i) / goods
+                gain = caught / max(1, sum(bads)) - 10 * lost / sum(goods)
                 if gain > best:
                     best, cutoff = gain, c
             if cutoff is not None:
@@ -127,12 +129,15 @@ def calibrate(measured: DataFrame, labels: DataFrame, lang: str = "lang", key: s
 
 
 def verdict(measured: DataFrame, cutoffs: dict[str, dict[str, float]], lang: str = "lang") -> DataFrame:
-    """measured with kept: not base_failed, and no rate above its stratum's cutoff. One row each, no shuffle."""
-    over = F.lit(False)
-    for s, by_rule in sorted(cutoffs.items()):
-        if by_rule:
-            over = over | ((stratum(lang) == s) & F.greatest(*[(F.col(r) > c).cast("int") for r, c in sorted(by_rule.items())], F.lit(0)).cast("boolean"))
-    return measured.withColumn("kept", ~F.col("base_failed") & ~over)
+    """measured with kept: not base_failed, and no rate above its stratum's cutoff. The cutoffs are a row for each stratum
+    that has some; they go to all tasks, so no row is shuffled."""
+    rows = [F.struct(F.lit(s).alias("_s"), *[F.lit(by_rule.get(r)).cast("double").alias(f"_{r}") for r in RULES]) for s, by_rule in sorted(cutoffs.items()) if by_rule]
+    if not rows:
+        return measured.withColumn("kept", ~F.col("base_failed"))
+    table = measured.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+    over = F.greatest(F.lit(0), *[(F.col(r) > F.col(f"_{r}")).cast("int") for r in RULES]).cast("boolean")  # greatest skips nulls
+    joined = measured.withColumn("_s", stratum(lang)).join(F.broadcast(table), "_s", "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_s", *[f"_{r}" for r in RULES])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *, carry: tuple[str, ...] = ("doc_id", "lang"), alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
