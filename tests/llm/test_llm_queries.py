@@ -7,12 +7,13 @@ import numpy as np
 import pytest
 from test_operators import brute, check_shards, counts
 
-from tickfold.llm import decontamination, queries
+from tickfold.llm import decontamination, license_scan, queries
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
     "op1": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op2": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op3": {"doc_id": "bigint", "license": "string", "containment": "double", "first_word": "bigint", "n_words": "bigint"},
     "op4": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
     "op5": {"conv_id": "bigint", "n_turns": "bigint", "turns_sha256": "string", "loss_chars": "bigint", "loss_sha256": "string", "formatted_chars": "bigint"},
     "op6": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
@@ -46,6 +47,25 @@ def test_quality_query(spark, texts):
     assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in run(spark, "op1").collect()} == {i: counts(t) for i, t in texts}
 
 
+def test_license_query(spark, texts):
+    """Templates by containment in the stretch given, and none that any stretch of twice the template's size holds is lost."""
+    plain = lambda t: [w for x in (t or "").lower().split() if (w := x.strip(license_scan.EDGE))]
+    got, expected = {(r.doc_id, r.license): r for r in run(spark, "op3").collect()}, set()
+    grams = lambda w, n: [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
+    for i, t in texts:
+        w = plain(t)
+        for name, template in license_scan.TEMPLATES.items():
+            x = plain(template)
+            q = min(5, len(x))
+            own, all_ = set(grams(x, q)), grams(w, q)
+            if any(len(own & set(all_[k : k + 2 * len(own)])) >= 0.8 * len(own) for k, g in enumerate(all_) if g in own):
+                expected.add((i, name))
+            if r := got.get((i, name)):
+                part = set(grams(w[r.first_word : r.first_word + r.n_words], q))
+                assert r.containment == len(own & part) / len(own) >= 0.8
+    assert expected and expected <= set(got)
+
+
 def test_shard_query(spark, texts):
     rows = run(spark, "op4").collect()
     sizes = check_shards(rows, texts, 24)

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,40 @@ def test_cutoffs_are_safe_and_useful(spark):
     assert not quality_rules.calibrate(measured, noise)["en"].get("symbols")
 
 
+def test_kept_equals_a_plain_calibration(spark):
+    """Rates, exact tails and choices made by hand, over two languages, one with too few labels."""
+    import math
+
+    dice, texts, marks = random.Random(8), [], []
+    for i in range(4000):
+        bad = i % 3 == 0
+        junk = ["%%%"] * dice.choice([0, 0, 1, 6] if bad else [0, 0, 0, 0, 0, 0, 1]) + ["!"] * dice.choice([0, 4] if bad else [0, 0, 0, 1])
+        texts.append((i, " ".join([f"w{dice.randrange(10**6)}" for _ in range(30)] + junk)))
+        marks.append((i, int(not bad), 0))
+    df = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "rare").when(F.col("doc_id") % 10 < 4, None).otherwise("en"))
+    out = quality_rules.quality_rules(df, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
+    of = lambda i: "rare" if i % 10 == 0 else "und" if i % 10 < 4 else "en"
+    rules = quality_rules.RULES
+    rate = {r.doc_id: {k: r[k] for k in rules} for r in out if not r.base_failed}
+    strata = {s: [i for i in rate if of(i) == s] for s in ("en", "und", "rare")}
+    strata = {s: x for s, x in strata.items() if sum(i % 3 != 0 for i in x) >= math.log(0.05 / 5) / math.log(0.99)}
+    assert set(strata) == {"en", "und"}
+    chosen = {}
+    for s, own in strata.items():
+        good, bad = [i for i in own if i % 3], [i for i in own if i % 3 == 0]
+        for k in rules:
+            best = 0.0
+            for c in quality_rules.GRID:
+                lost = sum(rate[i][k] > c for i in good)
+                if sum(math.comb(len(good), j) * 0.01**j * 0.99 ** (len(good) - j) for j in range(lost + 1)) > 0.05 / (2 * len(rules)):
+                    break
+                gain = sum(rate[i][k] > c for i in bad) / len(bad) - 10 * lost / len(good)
+                if gain > best:
+                    best, chosen[s, k] = gain, c
+    assert chosen and {r.doc_id: r.kept for r in out} == {r.doc_id: not r.base_failed and all(r[k] <= chosen.get((of(r.doc_id), k), 9) for k in rules) for r in out}
+    assert {r.kept for r in out if of(r.doc_id) == "rare"} == {True}
+
+
 def test_binomial_tail():
     assert quality_rules.binomial_tail(0, 10, 0.1) == pytest.approx(0.9**10)
     assert quality_rules.binomial_tail(10, 10, 0.1) == pytest.approx(1)
@@ -237,6 +272,30 @@ def test_license_scan_against_brute_force(spark):
     assert (1 - license_scan.CONTAINED / (3 - license_scan.CONTAINED)) ** license_scan.bands_for(license_scan.CONTAINED / (3 - license_scan.CONTAINED)) <= license_scan.MISS
 
 
+def test_bands_hold_their_promise_for_every_template():
+    """Windows that hold just CONTAINED of a template, and otherwise other words: the bands miss them as seldom as said."""
+    library = license_scan.Library({**license_scan.TEMPLATES, "long": " ".join(words(700, 4, 5000))})
+    for (size, m), own in library.classes.items():
+        for name, full in own:
+            if m > 1:
+                n, held = len(full), -(-len(full) * 4 // 5)
+                jaccard = held / (2 * m + n - held)
+                assert (1 - jaccard) ** library.bands[size, m] <= license_scan.MISS, name
+
+
+def test_stretched_notice_and_templates_of_a_table(spark):
+    full = " ".join(words(300, 6, 5000))
+    table = spark.createDataFrame([("L", full), ("none", None)], "name string, text string").withColumn("doc_id", F.lit("clash"))
+    templates = license_scan.templates_of(table)
+    w = full.split()
+    spread = " ".join(w[:150] + words(100, 9) + w[150:])
+    got = license_scan.scan(docs_of(spark, [(1, LONG[:5000] + " " + spread + " " + LONG[:3000]), (2, " ".join(w[:200]))]), templates).collect()
+    at = len(license_scan.word_hashes(LONG[:5000]))
+    assert [(r.doc_id, r.license, r.first_word, r.n_words) for r in got] == [(1, "L", at, 400)]
+    with pytest.raises(ValueError):
+        license_scan.templates_of(table, most_bytes=10)
+
+
 # ---- histogram sort
 
 
@@ -270,6 +329,15 @@ def test_shards_are_even_and_groups_stay_together(spark, hot):
     assert together >= len(of) - 7  # only a group that a splitter has to cut
 
 
+@pytest.mark.parametrize("cell_rows", [100, 50_000])
+def test_slots_follow_the_keys_at_every_size(spark, cell_rows):
+    texts = [(i, f"text {i} " * (1 + i % 9)) for i in range(1500)] + [(i, "hot") for i in range(2000, 2800)] + [(7, "twice")] * 300
+    rows = histogram_sort.shard(docs_of(spark, texts), 5, cell_rows=cell_rows).collect()
+    check_shards(rows, texts, 5)
+    order = [(r.key, r.doc_id) for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order)
+
+
 # ---- chats
 
 
@@ -327,6 +395,39 @@ def test_languages_of_odd_texts(spark):
     assert hyperdimensional.identify(empty(spark), empty(spark)).count() == 0
 
 
+def test_predictions_equal_a_plain_predictor(spark):
+    """Dense vectors made letter by letter, for every document of the smallest table."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    s = hyperdimensional.Space()
+
+    @__import__("functools").cache
+    def gram(x):
+        a, b, c = (s.letters[s.of[ord(k)] if k != " " else 0].astype(int) for k in x)
+        return np.roll(a, 2) * np.roll(b, 1) * c
+
+    def bundle(text):
+        v, n = np.zeros(hyperdimensional.DIMENSIONS), collections.Counter()
+        for w in "".join(k if k.isalpha() else " " for k in text or "").split():
+            w = f" {w} "
+            n.update(w[i : i + 3] for i in range(len(w) - 2))
+        for x, k in n.items():
+            v += k * gram(x)
+        return v
+
+    own, made = collections.defaultdict(lambda: 0), {i: bundle(t) for i, t, _ in rows}
+    for i, t, lang in rows:
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 5:
+            own[lang] = own[lang] + made[i]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for r in hyperdimensional.identify(df, df, carry=("doc_id",)).collect():
+        v = made[r.doc_id]
+        cosines = {k: p @ v / np.linalg.norm(p) / np.linalg.norm(v) for k, p in own.items()} if v.any() else {}
+        if cosines:
+            assert cosines[r.lang_pred] == pytest.approx(max(cosines.values())) and r.score == pytest.approx(max(0, max(cosines.values())), abs=1e-6)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
 def test_bundles_are_sums_of_bound_letters():
     s = hyperdimensional.Space(64, 1)
     codes, n = s.trigrams("Abba, abba!")
@@ -369,6 +470,46 @@ def test_truncated_stream_is_an_error():
         list(warc.records(iter([raw[:-3]])))
 
 
+def test_cut_gzip_streams_are_errors():
+    import gzip
+
+    whole = gzip.compress(b"".join(warc.record(i, "u", b"payload" * 50, "d", "response", None) for i in range(5)))
+    inflate = lambda raw: list(warc.records(warc.inflated(pa.BufferReader(raw))))
+    assert len(inflate(whole)) == 5 and len(inflate(whole + whole)) == 10
+    z = __import__("zlib").compressobj(9, 8, 31)
+    three = b"".join(z.compress(warc.record(i, "u", b"payload", "d", "response", None)) for i in range(3)) + z.flush(__import__("zlib").Z_SYNC_FLUSH)
+    for raw in (whole[:-8], whole[:-1], whole[: len(whole) // 2], three):
+        with pytest.raises(ValueError, match="inside a gzip member"):
+            inflate(raw)
+
+
+def test_archives_of_other_tools(spark, tmp_path):
+    import gzip
+
+    def made(kind, block, *more):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type:{kind}", f"WARC-Record-ID: <urn:x:{kind}>", *more, f"content-length:   {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    parts = [made("warcinfo", b"software: x\r\n"), b"\r\n", made("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Target-URI: http://a/", "X-Folded: one", "\ttwo"), made("response", http, "WARC-Target-URI: http://a/\u00e9", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:ABC"), made("metadata", b"")]
+    (tmp_path / "other.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    archives = spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz",)], "path string")
+    index = warc.normalise(archives, shared.new_path(spark, "other"))
+    rows = {r.type: r for r in index.collect()}
+    assert {k: (r.record_id, r.uri, r.digest, r.page_id) for k, r in rows.items()} == {"warcinfo": ("<urn:x:warcinfo>", None, None, None), "request": ("<urn:x:request>", "http://a/", None, None), "response": ("<urn:x:response>", "http://a/\u00e9", "sha1:ABC", None), "metadata": ("<urn:x:metadata>", None, None, None)}
+    back = {r.record_type: r for r in warc.read(index).collect()}
+    assert bytes(back["response"].payload) == http and back["response"].payload_digest == "sha1:ABC" and back["response"].payload_bytes == len(http)
+    assert back["warcinfo"].payload_digest == hashlib.sha256(b"software: x\r\n").hexdigest() and back["metadata"].payload_bytes == 0
+
+
+def test_many_archives_are_many_tasks(spark):
+    df = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 40) for i in range(64)], "page_id long, url string, html string").repartition(16)
+    folder = shared.new_path(spark, "many")
+    archives = warc.write(warc.decide(df), f"{folder}/raw")
+    index = warc.normalise(archives, f"{folder}/records")
+    files = len([x for x in index.inputFiles()])
+    assert archives.count() > 4 and files > 4 and index.select("path").distinct().count() == archives.count()
+
+
 # ---- decontamination
 
 
@@ -405,6 +546,40 @@ def test_parts_of_a_common_item_are_found(spark):
     assert got == {i: 0.5 if i < 10 else 1.0 for i in range(130)}
 
 
+def test_found_pairs_equal_seed_and_align_over_all_pairs(spark):
+    """Every text with every item: pairs that share a seed are aligned by the textbook, in whole texts."""
+    def score(a, b):
+        top, row = 0.0, [0.0] * (len(b) + 1)
+        for x in a:
+            new = [0.0]
+            for j, y in enumerate(b):
+                new.append(max(0.0, row[j] + (1 if x == y else -0.5), row[j + 1] - 0.5, new[j] - 0.5))
+            row = new
+            top = max(top, *row)
+        return top / len(a)
+
+    dice = random.Random(12)
+    items = [(i, words(dice.choice([4, 15, 30]), 50 + i, 300)) for i in range(12)]
+    texts = []
+    for i in range(60):
+        body = words(80, 900 + i, 300)
+        for k in dice.sample(range(12), 2):
+            x = [w if dice.random() > 0.03 * (i % 6) else dice.choice(body) for w in items[k][1]]
+            at = dice.randrange(len(body))
+            body[at:at] = x[: dice.randint(3, len(x))]
+        texts.append((i if i % 10 else None, " ".join(body)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    expected = collections.defaultdict(float)
+    for i, t in texts:
+        for k, x in items:
+            n = min(decontamination.SEED, len(x))
+            if grams(t.split(), n) & grams(x, n) and (s := score(x, t.split())) >= decontamination.SCORE:
+                expected[i, k] = max(s, expected[i, k])
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs_of(spark, [*texts, texts[3], texts[0]]), bench).collect()}
+    assert len(expected) > 40 and got == pytest.approx(dict(expected))
+
+
 def test_alignment_against_the_textbook():
     def plain(a, b):
         h = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -548,6 +723,45 @@ def test_dense_group_of_added_words_stays_whole(spark, monkeypatch):
     assert set(root.values()) == {0} and {r.doc_id: r.component_id for r in got} == root and [r.doc_id for r in got if r.kept] == [0]
 
 
+def test_unlike_texts_under_one_id_are_compared_as_others(spark, monkeypatch):
+    monkeypatch.setattr(lsh_forest, "BLOCK_TEXTS", 5)
+    a, b = (" ".join(words(60, k, 3000)) for k in (1, 2))
+    texts = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a + " still"), (None, " ".join(words(60, 9, 3000))), (4, a), (4, a)]
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in lsh_forest.near_duplicates(docs_of(spark, texts)).collect()), key=str)
+    assert got == sorted([(1, None, False), (1, 1, True), (2, None, False), (3, 1, False), (None, None, True), (None, None, True), (4, None, False), (4, None, False)], key=str)
+    kept = [(r.doc_id, r.text) for r in lsh_forest.one_of_each(docs_of(spark, [*texts, (8, None), (8, None), (9, ""), (None, None)])).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, a + " still"), (1, b), texts[5], (8, None), (9, ""), (None, None)]))
+
+
+def test_large_groups_with_and_without_a_middle(spark, monkeypatch):
+    """Far members of a large group are linked through others than the pivot; chains have no middle at all."""
+    monkeypatch.setattr(lsh_forest, "BLOCK_TEXTS", 12)
+    base = words(120, 70, 4000)
+    texts = [(i, " ".join(base[: 120 - i % 4] + [f"own{i}"])) for i in range(120)]
+    chain = words(400, 71, 4000)
+    texts += [(1000 + i, " ".join(chain[5 * i : 5 * i + 120])) for i in range(50)]  # each only near the next ones
+    _, root = brute(texts, 3, 85)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs_of(spark, texts), words=3, percent=85).collect()}
+    assert got == root and len(set(root.values())) < 40
+
+
+def test_recall_in_a_dense_template_family(spark, monkeypatch):
+    """Texts of one template whose own pairs are at the threshold, in regions cut to any depth."""
+    monkeypatch.setattr(lsh_forest, "REGION", 8)
+    body, texts = words(200, 31, 4000), []
+    for i in range(150):
+        x = body[:140] + words(60, 5000 + i, 4000)
+        for k in range(2):
+            y = list(x)
+            for _ in range(4 * k):
+                y[random.Random(i).randrange(140, 200)] = f"e{i}"
+            texts.append((2 * i + k, " ".join(y)))
+    _, root = brute(texts, 3, 85)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs_of(spark, texts), words=3, percent=85).collect()}
+    pairs = [i for i in root if root[i] != i]
+    assert len(pairs) > 100 and sum(got[i] == root[i] for i in pairs) >= 0.95 * len(pairs) and all(got[i] in (root[i], i) for i in root)
+
+
 def test_depth_keeps_its_promise():
     for s in (0.5, 0.8, 0.85, 0.95):
         assert (1 - s ** lsh_forest.depth_for(s)) ** lsh_forest.TREES <= lsh_forest.MISS or lsh_forest.depth_for(s) == 1
@@ -562,6 +776,25 @@ def test_components_of_chains_and_hubs(spark):
 # ---- the pipeline
 
 
+def test_pipeline_loses_no_document_for_its_id(spark):
+    """Unlike texts under one id and under none pass every stage, equal rows are one from the third stage on, and a
+    contaminated text goes alone."""
+    import corpus_pipeline as c
+
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    clean = [r.text for r in whole.orderBy("doc_id").collect() if r.text and r.lang == "en" and 100 < len(r.text.split()) < 400 and len(set(r.text.split())) > 60][:40]
+    own = [" ".join(random.Random(i).sample(t.split(), len(t.split()))) for i, t in enumerate(clean)][:6]
+    rows = [(1, own[0]), (1, own[1]), (None, own[2]), (None, own[3]), (1, own[4] + " " + item), (None, item + " " + own[5]), (1, own[0]), (None, own[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    for name, stage in c.STAGES[2:4]:
+        docs = shared.cut(stage(spark, docs, SF), name)
+        assert docs.columns == list(c.COLUMNS)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in docs.collect()))) == sorted(map(str, rows[:4]))
+    pieces = c.packed(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in pieces if r.start == 0) == ["1", "1", "None", "None"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
