@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from tickfold.llm.shared import slices
 
 CHUNK, GROUP, MOST_GROUPED, ALIKE, DEEPEST = 64, 256, 20_000, 0.5, 200
+#: Groups dealt to a task, so that a task's work does not grow with the table, and the most tasks.
+TASK_GROUPS, TASKS = 4, 50_000
 #: Contexts and share of all contexts from which on a slot's text is template.
 OUTSIDE, INSIDE = (3, 0.66), (8, 0.9)
 #: Bytes of html beyond which a chunk ends before it has its number of pages, as all of it is in memory.
@@ -433,7 +435,8 @@ def main_text(pages: DataFrame, *, html: str = "html", url: str = "url", page_id
     mark = F.xxhash64(page_id, url, html)
     rows = pages.select(host(url).alias("host"), F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), mark.alias("mark"))
     rows = rows.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod("mark", F.coalesce("groups", F.lit(1))))
-    dealt = rows.repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "mark").select("host", "part", "page_id", "url", "html")
+    tasks = min(TASKS, 1 + total // (TASK_GROUPS * GROUP))
+    dealt = rows.repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "page_id", "mark").select("host", "part", "page_id", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
