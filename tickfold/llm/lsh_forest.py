@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickfold.llm.packing import chunks
-from tickfold.llm.shared import bit_filter, components, cut, slices
+from tickfold.llm.shared import bit_filter, bit_split, components, cut, slices
 
 TREES, DEPTH, MISS = 16, 12, 2e-5
 REGION = 2000
@@ -136,7 +136,7 @@ def forest_links(classes: DataFrame, similarity: float) -> DataFrame:
     while True:
         sizes = rows.groupBy("region").agg(F.count("*").alias("count"), F.min("node").alias("first")).where("count > 1")
         sizes = cut(sizes, "region-sizes")  # written, so that a hot region's join can be split
-        live = cut(rows.join(sizes, "region").select("node", "tree", "order", "region", "count", "first"), "regions")
+        live = cut(bit_filter(rows, "region", sizes).join(sizes, "region").select("node", "tree", "order", "region", "count", "first"), "regions")
         small = live.where(F.col("count") <= REGION).select("node", "region", "order")
         regions = small if regions is None else regions.union(small)
         dense = live.where(F.col("count") > REGION)
@@ -313,9 +313,14 @@ def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, text: str
     Rows under one id with unlike texts are documents of their own, and so are rows with a null id and texts without
     words. All columns are kept, but those named _k1, _k2 and _hit."""
     docs = docs.drop("_k1", "_k2", "_hit")
-    _, sets = grouped(docs, words=words, percent=percent, text=text, doc_id=doc_id)
-    chosen = sets.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct().withColumn("_hit", F.lit(True))
+    rows, sets = grouped(docs, words=words, percent=percent, text=text, doc_id=doc_id)
+    keys = rows.groupBy("k1", "k2").agg(F.first("set_id").alias("set_id"), F.first("n_shingles").alias("n"), F.count("*").alias("times"))
+    keys = keys.join(sets.select("set_id", F.col("k1").alias("c1"), F.col("k2").alias("c2")), "set_id", "left")
+    chosen = (F.col("n") == 0) | F.coalesce((F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), F.lit(False))
+    # rows that go, and those that stay once: only they, and few others, are shuffled
+    told = cut(keys.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), chosen.alias("_hit"), "times").where("not _hit or times > 1").drop("times"), "told")
     k1, k2 = row_keys(doc_id, text)
-    keyed = docs.select("*", k1.alias("_k1"), k2.alias("_k2")).join(chosen, ["_k1", "_k2"], "left")
-    empty = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return keyed.where(F.col("_hit") | empty).dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    some, others = bit_split(docs.select("*", k1.alias("_k1"), k2.alias("_k2")), "_k1", told)
+    once = some.join(told, ["_k1", "_k2"], "left")
+    none = once.where("_hit is null").select(*docs.columns)
+    return others.select(*docs.columns).unionByName(none).unionByName(once.where("_hit").dropDuplicates(["_k1", "_k2"]).select(*docs.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickfold.sources.scratch import cut, drop, new_path, shared_dir
 
-__all__ = ["SPACE", "bit_filter", "components", "cut", "drop", "new_path", "shared_dir", "slices", "table"]
+__all__ = ["SPACE", "bit_filter", "bit_split", "components", "cut", "drop", "new_path", "shared_dir", "slices", "table"]
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -26,11 +26,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def bit_filter(df: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
-    """df without most rows whose key (a long, a hash) is not in wanted; none that is in it is lost.
+def _marked(df: DataFrame, key: str, wanted: DataFrame, most_bits: int) -> DataFrame:
+    """df with _maybe: false for most rows whose key (a long, a hash) is not in wanted, true for all whose key is.
 
     A bit for each key, 16 bits for each wanted row but at most most_bits (16 MB), goes to all tasks as bitmaps of 4 KB.
-    Beyond that bound more rows pass, no wanted one is lost."""
+    Beyond that bound more rows are marked."""
     bits = 1 << 15
     while bits < min(most_bits, 16 * wanted.count()):
         bits *= 2
@@ -38,8 +38,20 @@ def bit_filter(df: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 <<
     bucket, bit = F.shiftright(place, 15), place.bitwiseAND(32767)
     maps = wanted.select(bucket.alias("_bucket"), bit.cast("long").alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
     byte = F.conv(F.hex(F.substring(F.col("_map"), F.shiftright(F.col("_bit"), 3) + 1, F.lit(1))), 16, 10).cast("int")
-    at = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(maps), "_bucket")
-    return at.where(F.call_function("shiftright", byte, F.col("_bit").bitwiseAND(7)).bitwiseAND(1) == 1).select(*df.columns)
+    hit = F.coalesce(F.call_function("shiftright", byte, F.col("_bit").bitwiseAND(7)).bitwiseAND(1) == 1, F.lit(False))
+    at = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(maps), "_bucket", "left")
+    return at.select(*df.columns, hit.alias("_maybe"))
+
+
+def bit_filter(df: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """df without most rows whose key (a long, a hash, not null) is not in wanted; none that is in it is lost."""
+    return _marked(df, key, wanted, most_bits).where("_maybe").drop("_maybe")
+
+
+def bit_split(df: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be in wanted, and those whose key is not. The latter need no join, so no shuffle."""
+    marked = _marked(df, key, wanted, most_bits)
+    return marked.where("_maybe").drop("_maybe"), marked.where("not _maybe").drop("_maybe")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
