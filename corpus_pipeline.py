@@ -16,7 +16,7 @@ from tickfold.llm.decontamination import contaminated
 from tickfold.llm.lsh_forest import one_of_each
 from tickfold.llm.quality_rules import quality_rules
 from tickfold.llm.queries import tokenizer_path
-from tickfold.llm.shared import cut, table
+from tickfold.llm.shared import bit_split, cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The least cosine with a learned language's prototype. Whole sentences have 0.4 and more; below are texts with few
@@ -52,8 +52,10 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents without a passage of the benchmark. Rows are told by a hash of id and text, so a clean text stays where
     another one under its id, or under none, goes; equal rows fare alike."""
     keyed = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), doc_id="_row").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(found, "_row", "left_anti").select(*COLUMNS)
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), doc_id="_row")
+    found = cut(found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    some, others = bit_split(keyed, "_row", found)
+    return others.unionByName(some.join(found, "_row", "left_anti").select(keyed.columns)).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
