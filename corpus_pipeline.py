@@ -19,8 +19,8 @@ from tickfold.llm.queries import tokenizer_path
 from tickfold.llm.shared import bit_split, cut, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: The least cosine with a learned language's prototype. Whole sentences have 0.4 and more; below are texts with few
-#: letters or none of the languages learned. The README gives the share of documents it drops.
+#: The least cosine with a learned language's prototype; unlike texts are meant to be below. The README gives how many
+#: documents it drops.
 LEAST_LIKENESS = 0.15
 
 
