@@ -80,9 +80,10 @@ def test_decontamination_query(spark, texts):
     got, whole, seeded = {(r.doc_id, r.item_id) for r in run(spark, "op8").collect()}, set(), set()
     for i, t in texts:
         w = decontamination.tokens(t)
-        own, spaced = grams(w, 5), f" {' '.join(w)} "
+        own, spaced = {n: grams(w, n) for n in range(1, 6)}, f" {' '.join(w)} "
         for k, x in items.items():
-            if own & grams(x, 5):
+            n = decontamination.seed(len(x))
+            if own[n] & grams(x, n):
                 seeded.add((i, k))
             if f" {' '.join(x)} " in spaced:
                 whole.add((i, k))

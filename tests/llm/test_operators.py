@@ -573,13 +573,23 @@ def test_found_pairs_equal_seed_and_align_over_all_pairs(spark):
     expected = collections.defaultdict(float)
     for i, t in texts:
         for k, x in items:
-            n = min(decontamination.SEED, len(x))
+            n = decontamination.seed(len(x))
             if grams(t.split(), n) & grams(x, n) and (s := score(x, t.split())) >= decontamination.SCORE:
                 expected[i, k] = max(s, expected[i, k])
     got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(docs_of(spark, [*texts, texts[3], texts[0]]), bench).collect()}
     assert len(expected) > 40 and got == pytest.approx(dict(expected))
 
 
+def test_a_copy_with_every_fourth_or_fifth_word_edited_is_found(spark):
+    items = [(i, words(n, 3000 + i, 5000)) for i, n in enumerate((15, 20, 24, 25, 40, 59))]
+    texts = []
+    for i, x in items:
+        x = [w if k % (4 if len(x) < 25 else 5) else "edited" for k, w in enumerate(x)]
+        texts.append((i, " ".join([*words(60, i, 3000), *x, *words(60, 100 + i, 3000)])))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, texts), bench).collect()} == {(i, i) for i, _ in items}
+
+
 def test_alignment_against_the_textbook():
     def plain(a, b):
         h = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]

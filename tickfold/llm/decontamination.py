@@ -1,7 +1,8 @@
 """Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. One pass over the texts finds every n-gram of the test items, exactly, and keeps of each text only the stretches
-   around such hits, as word numbers of the items' vocabulary (other words cannot match). They are written.
+   around such hits, as word numbers of the items' vocabulary (other words cannot match). They are written. A seed has
+   four words, or three in items of fewer than ``SHORT`` words, whose edited copies have fewer words left in a row.
 2. A stretch with any n-gram of an item is aligned with it, however common the n-gram is: an item whose whole copies are
    common also has partial ones. Two things that lose nothing save work: a stretch with too few of an item's words to
    reach ``SCORE`` isn't aligned, and equal spans are aligned once.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from tickfold.llm.shared import cut
 
-SEED, SCORE, BLOCK_WORDS = 5, 0.4, 1_000_000
+SEED, SHORT_SEED, SHORT = 4, 3, 25
+SCORE, BLOCK_WORDS = 0.4, 1_000_000
 #: Alignments a task remembers.
 CACHED = 10_000
 #: Words are runs of other characters than white space and these marks.
@@ -43,6 +45,11 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def seed(words: int) -> int:
+    """How many words a seed has in an item of so many."""
+    return min(SHORT_SEED if words < SHORT else SEED, words)
+
+
 def grams(words: np.ndarray, size: int) -> np.ndarray:
     """A number for each run of size word numbers; runs with an unknown word have -1."""
     n = len(words) - size + 1
@@ -80,20 +87,20 @@ def align(item: np.ndarray, text: np.ndarray, off: float = 0.5) -> tuple[float,
 class Items:
     """A block of test items: numbers of words, and of each n-gram the items that have it."""
 
-    def __init__(self, rows: list[tuple[int, str]], size: int) -> None:
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
         self.numbers: dict[str, int] = {}
         self.words = []
         for _, text in rows:
             self.words.append(np.array([self.numbers.setdefault(w, len(self.numbers)) for w in tokens(text)], np.int64))
         self.ids = [i for i, _ in rows]
         self.of: dict[int, set[int]] = {}
-        self.sizes = sorted({min(size, len(w)) for w in self.words if len(w)})
+        self.sizes = sorted({seed(len(w)) for w in self.words if len(w)})
         for k, w in enumerate(self.words):
             if len(w):
-                for g in grams(w, min(size, len(w))).tolist():
+                for g in grams(w, seed(len(w))).tolist():
                     self.of.setdefault(g, set()).add(k)
         self.known = np.array(sorted(self.of), np.int64)
-        self.margin = max((len(w) for w in self.words), default=0) * 5 // 4 + size
+        self.margin = max((len(w) for w in self.words), default=0) * 5 // 4 + SEED
 
 
 def stretches(docs: DataFrame, items: Items, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -165,7 +172,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE,
     blocks = max(1, -(-total // (6 * BLOCK_WORDS)))
     parts = None
     for b in range(blocks):
-        items = Items([tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()], SEED)
+        items = Items([tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()])
         if not len(items.known):
             continue
         found = stretches(docs, items, text=text, doc_id=doc_id)
