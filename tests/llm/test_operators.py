@@ -606,9 +606,17 @@ def test_alignment_against_the_textbook():
 
 def test_benchmark_in_blocks_finds_the_same(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    item = words(30, 4000, 5000)  # parts of it, far apart in one text, and a text of its words out of order
+    bench = bench.unionByName(spark.createDataFrame([(-1, " ".join(item)), (-2, "two words"), (-3, None), (-4, "İΣ word ΑΣ")], "item_id long, text string"))
+    own = [*ODD, (-1, " ".join([*words(500, 1, 3000), *item[:15], *words(500, 2, 3000), *item[5:25], *words(9, 3, 3000)])), (-2, " ".join(sorted(item))), (-3, "x İΣ, WORD (ΑΣ) y")]
+    docs = docs.unionByName(docs_of(spark, own).select(docs.columns))
+    whole = sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=str)
+    assert {(-1, -1), (5, -2), (-3, -4)} <= {r[:2] for r in whole}
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 400)
-    assert whole and {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == whole
+    for places in (decontamination.PLACES, 1 << 15):  # the smaller bitmap is full of chance hits
+        monkeypatch.setattr(decontamination, "PLACES", places)
+        assert sorted(map(tuple, decontamination.contaminated(docs, bench).collect()), key=str) == whole
+    assert decontamination.contaminated(empty(spark), bench).count() == 0
 
 
 # ---- packing

@@ -9,8 +9,10 @@
 3. The alignment is local, a match 1, a mismatch or gap -0.5. The score is the best alignment's over the item's words;
    edits cost some of it but not the rest. At ``SCORE`` the text is contaminated.
 
-Test items go out in blocks of at most ``BLOCK_WORDS`` words, one pass for each, so nothing unbounded is sent to tasks
-or the driver. A common passage makes many stretches but no pairs of texts, and no key is grouped but text and item.
+Test items go out in blocks of at most about ``BLOCK_WORDS`` words, so nothing unbounded is sent to tasks or the driver.
+With more than one block, one pass over the texts keeps what is around any seed of any block, told by a bitmap of at
+most 16 MB, and the blocks' passes read that only: texts are read once, however large the benchmark. A common passage
+makes many stretches but no pairs of texts, and no key is grouped but text and item.
 
 Defined results: null or empty texts and items match nothing; an item of fewer words than a seed has one seed, all its
 words; a null id is kept; equal rows give equal rows, of which one is kept; an empty table on either side gives none.
@@ -25,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,10 @@ from tickfold.llm.shared import cut
 
 SEED, SHORT_SEED, SHORT = 4, 3, 25
 SCORE, BLOCK_WORDS = 0.4, 1_000_000
-#: Alignments a task remembers.
-CACHED = 10_000
+#: Alignments a task remembers, and words whose hashes it remembers.
+CACHED, HASHED = 10_000, 1_000_000
+#: Places of the bitmap of all seeds, 32,768 in each of its parts.
+PLACES = 1 << 27
 #: Words are runs of other characters than white space and these marks.
 WORD = re.compile(r"[^\s.,;:!?\"'()\[\]{}<>*#$%&|]+")
 STRETCH = "doc_id long, start long, words array<int>, grams array<long>, places array<int>"
@@ -103,15 +108,81 @@ class Items:
         self.margin = max((len(w) for w in self.words), default=0) * 5 // 4 + SEED
 
 
-def stretches(docs: DataFrame, items: Items, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """STRETCH rows of all texts: runs of words around hits, with the n-grams hit and where."""
+def runs(at: np.ndarray, margin: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first, end, low, high): hits first to end of the sorted places at, with margin words on both sides, overlap no others."""
+    breaks = [0, *(np.flatnonzero(np.diff(at) > 2 * margin) + 1).tolist(), len(at)]
+    for a, b in zip(breaks, breaks[1:]):
+        yield a, b, max(0, int(at[a]) - margin), int(at[b - 1]) + margin
+
+
+class Hashes(dict):
+    """Numbers of words that need no vocabulary; bounded by forgetting all."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HASHED:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word) >> 1
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def candidates(source: DataFrame, own: DataFrame) -> DataFrame:
+    """doc_id, start, text of the stretches of source around what may be a seed of the items own, written.
+
+    No stretch with a seed is lost: the bitmap has all of them. The fuller it is, the more others go along."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                words = tokens(t)
+                if words:
+                    size = seed(len(words))
+                    at = np.unique(grams(hashes.of(words), size) & (PLACES - 1))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at >> 15, pa.int32()), pa.array(at & 32767, pa.int64()), pa.array(np.full(len(at), size), pa.int32()), pa.array(np.full(len(at), len(words)), pa.int64())],
+                        names=["part", "bit", "size", "words"],
+                    )
+
+    # at most PLACES / 32768 rows of 4 KB
+    maps = own.select("text").mapInArrow(places, "part int, bit long, size int, words long").groupBy("part").agg(F.bitmap_construct_agg("bit"), F.collect_set("size"), F.max("words")).collect()
+    whole = np.zeros(PLACES // 8, np.uint8)
+    for part, bits, _, _ in maps:
+        whole[part * 4096 : part * 4096 + 4096] = np.frombuffer(bits, np.uint8)
+    sizes = sorted({size for m in maps for size in m[2]})
+    margin = max((m[3] for m in maps), default=0) * 5 // 4 + SEED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in batches:
+            out = []
+            for i, start, t in zip(*(c.to_pylist() for c in batch.columns)):
+                words = tokens(t)
+                numbers, hit = hashes.of(words), np.zeros(len(words), bool)
+                for size in sizes:
+                    at = grams(numbers, size) & (PLACES - 1)
+                    hit[: len(at)] |= (whole[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                if hit.any():
+                    out += [(i, start + low, " ".join(words[low:high])) for _, _, low, high in runs(np.flatnonzero(hit), margin)]
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "start", "text"])
+
+    return cut(source.mapInArrow(run, "doc_id long, start long, text string"), "candidates")
+
+
+def stretches(source: DataFrame, items: Items) -> DataFrame:
+    """STRETCH rows of all texts of source (doc_id, start, text): runs of words around hits, with the n-grams hit and where.
+
+    start is the number of words before source's text in its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, quick = items.numbers.get, np.zeros(1 << 20, bool)
         quick[items.known & (len(quick) - 1)] = True
         for batch in batches:
             out = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i, start, t in zip(*(c.to_pylist() for c in batch.columns)):
                 words = np.fromiter(map(get, tokens(t), repeat(-1)), np.int64)
                 at, own = [], []
                 for size in items.sizes:
@@ -125,15 +196,13 @@ def stretches(docs: DataFrame, items: Items, *, text: str = "text", doc_id: str
                     continue
                 order = np.argsort(at, kind="stable")
                 at, own = at[order].astype(np.int64), own[order].astype(np.int64)
-                breaks = np.flatnonzero(np.diff(at) > 2 * items.margin) + 1
-                for a, g in zip(np.split(at, breaks), np.split(own, breaks)):
-                    low, high = max(0, int(a[0]) - items.margin), int(a[-1]) + items.margin
-                    out.append((i, low, words[low:high].tolist(), g.tolist(), (a - low).tolist()))
+                for a, b, low, high in runs(at, items.margin):
+                    out.append((i, start + low, words[low:high].tolist(), own[a:b].tolist(), (at[a:b] - low).tolist()))
             columns = list(zip(*out)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in STRETCH.split(", ")])
 
-    return cut(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, STRETCH), "stretches")
+    return cut(source.mapInArrow(run, STRETCH), "stretches")
 
 
 class Aligner:
@@ -170,12 +239,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE,
     own = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     total = own.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // (6 * BLOCK_WORDS)))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col(text).alias("text"))
+    if blocks > 1:
+        source = candidates(source, own)
     parts = None
     for b in range(blocks):
         items = Items([tuple(r) for r in own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()])
         if not len(items.known):
             continue
-        found = stretches(docs, items, text=text, doc_id=doc_id)
+        found = stretches(source, items)
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             aligner = Aligner(items, score)
