@@ -828,3 +828,15 @@ def test_pipeline(spark):
     assert now.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).where("n <> d").count() == 0
     for name, stage in c.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_known_parts_stay_few_within_one_text():
+    """The remembered parts are bounded at every moment, not only between texts, and ids are the whole tokenizer's."""
+    import public_tokenizers
+
+    from tickfold.llm import packing
+
+    t = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"), most=50)
+    texts = ["", "\n", " a  B\n\u00c9t\u00e9 \u00c9T\u00c9! x-1 it's \u65e5\u672c na\u00efve,, \u00ff\u0130 \u00b5 \xa0z", " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)), " ".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(600))]
+    assert t.fast and t.encode(texts) == t.whole(texts)
+    assert max(map(len, (t.known, t.words, t.marks))) <= 50

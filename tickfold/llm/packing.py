@@ -15,7 +15,8 @@ from __future__ import annotations
 import os
 import random
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,28 @@ from pyspark.sql import types as T
 from tickfold.llm.shared import cut
 
 LENGTH = 4096
+#: The array type of 32-bit words.
+WORD = "I" if array("I").itemsize == 4 else "L"
 
 
 #: Letters whose lower case and normal form are one letter each, and marks that no pattern of a tokenizer takes into a word.
 PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
 
 
+class _Known(dict):
+    """What find gives for a key, remembered for at most so many keys."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int) -> None:
+        self.find, self.most = find, most
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.find(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = ids
+        return ids
+
+
 class Tokens:
     """Ids of texts as little-endian 32-bit words, by any tokenizer; quickly by one that drops white space and lowers case.
 
@@ -47,12 +64,15 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.words, self.marks = Tokenizer.from_file(path), most, {"": b""}, {"": b""}, {"": b""}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        self.words, self.marks = _Known(self.spelt, most), _Known(lambda m: self.whole([m])[0], most)
         byte = [*range(33, 127), *range(161, 173), *range(174, 256)]  # how byte-level models write bytes
         self.byte = {b: chr(b) for b in byte} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in byte)}
         sample = ["Two  words, 3 of\nthem: it's \u00e9t\u00e9\n\n x", " a b  c ", "\n", "one", "\u65e5\u672c \u8a9e. \U0001f600 z"]
         self.cuts = [b"".join(self.whole([w for w in re.split("[ \n]", t) if w])) for t in sample] == self.whole(sample)
         self.fast = self.cuts and self.agrees()
+        self.known = _Known(self.part, most) if self.fast else {"": b""}
 
     def agrees(self) -> bool:
         """Whether the shortcut gives what the tokenizer gives, on every plain letter, in and between words, and mark."""
@@ -63,35 +83,36 @@ class Tokens:
     def whole(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
+    def spelt(self, word: str) -> bytes:
+        """Ids of plain letters in lower case, from the model."""
+        if not word:
+            return b""
+        spelt = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
+        return array(WORD, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
     def plain(self, part: str) -> bytes | None:
+        if part.isascii() and part.isalpha():  # most parts, for which matching would cost as much as all the rest
+            return self.words[part.lower()]
         m = PLAIN.fullmatch(part)
         if not m:
             return None
         word, marks = m[1].lower(), m[2]
-        if (ids := self.words.get(word)) is None:
-            spelt = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
-            ids = self.words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
-        if marks:
-            if marks not in self.marks:
-                self.marks[marks] = self.whole([marks])[0]
-            ids += self.marks[marks]
-        return ids
+        return self.words[word] + self.marks[marks] if marks else self.words[word]
+
+    def part(self, part: str) -> bytes:
+        return ids if (ids := self.plain(part)) is not None else self.whole([part])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.whole(texts)
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for p in parts for w in p}.difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known, self.words, self.marks = {"": b""}, {"": b""}, {"": b""}
+        if not self.fast:
             new = {w for p in parts for w in p}.difference(self.known)
-        rest = []
-        for w in new:
-            if self.fast and (ids := self.plain(w)) is not None:
-                self.known[w] = ids
-            else:
-                rest.append(w)
-        self.known.update(zip(rest, self.whole(rest)))
+            if len(self.known) + len(new) > self.most:
+                self.known = {"": b""}
+                new = {w for p in parts for w in p}.difference(self.known)
+            rest = list(new)
+            self.known.update(zip(rest, self.whole(rest)))
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
